@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +65,12 @@ def header_month(header: Column) -> Column:
     return F.when(month.isNotNull(), F.concat(F.lit("20"), year, F.lit("-"), padded(month)))
 
 
+def month_of_column(name: str) -> str | None:
+    """The same for one column name, read by the driver with the schema."""
+    found = re.match(MONTH_COLUMN, name)
+    return f"{found[2]}-{int(found[1]):02d}" if found and 1 <= int(found[1]) <= 12 else None
+
+
 def column_month(label: Column) -> Column:
     """`06.2026` to `2026-06`; null when the label is no month."""
     month = F.nullif(F.regexp_extract(label, MONTH_COLUMN, 1), F.lit("")).cast("int")
