@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caudal.catalog.domain import TEST_MONTHS, brand, closed, closed_panel, shared
+from caudal.catalog.domain import TEST_MONTHS, brand, closed, closed_panel, written_once
 from caudal.catalog.registry import cte, query, r, rounded, with_
 from caudal.catalog.scoring import combined
 from caudal.functions.skus import MONTH_NAMES, alt_key, dataset_key, planner_key
@@ -44,9 +43,9 @@ def planner_rows(spark, sf) -> DataFrame:
             "planta", panel.label(F.col("mi") + 1).alias("mes"), F.explode(names).alias("sku_planner"), (F.col("b") + 100000).alias("product_sap"),
             F.when(F.col("b") % 3 > 0, "VMI").otherwise("NO VMI").alias("strategy"), value.alias("forecast_to"), "b", "gsm",
         )
-        return out.persist(StorageLevel.MEMORY_AND_DISK)
+        return out
 
-    return shared(spark, sf, "planner", build)
+    return written_once(spark, sf, "planner", build)
 
 
 def internal_rows(spark, sf) -> DataFrame:
@@ -71,13 +70,13 @@ def forecasts(spark, sf) -> DataFrame:
 
 
 def audited(spark, sf) -> DataFrame:
-    build = lambda: cp.audit(planner_rows(spark, sf), forecasts(spark, sf), closed_panel(spark, sf), MODELS, MIN_HISTORY, ["VMI"]).persist(StorageLevel.MEMORY_AND_DISK)
-    return shared(spark, sf, "audited", build)
+    build = lambda: cp.audit(planner_rows(spark, sf), forecasts(spark, sf), closed_panel(spark, sf), MODELS, MIN_HISTORY, ["VMI"])
+    return written_once(spark, sf, "audited", build)
 
 
 def table(spark, sf) -> DataFrame:
-    build = lambda: cp.add_internal(cp.compared(audited(spark, sf)), internal_marked(spark, sf))[0].persist(StorageLevel.MEMORY_AND_DISK)
-    return shared(spark, sf, "three_sources", build)
+    build = lambda: cp.add_internal(cp.compared(audited(spark, sf)), internal_marked(spark, sf))[0]
+    return written_once(spark, sf, "three_sources", build)
 
 
 # ---- check SQL -----------------------------------------------------------------------------------------------------------

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from caudal.catalog.registry import cte
 from caudal.operators.features import make_frame
 from caudal.operators.month_state import detect_month_state, up_to_month
 from caudal.operators.panel import Panel, build_panel
+from caudal.session import written
 
 TEST_MONTHS = 12
 MEMBERS = ["naive", "mean3", "mean6", "mean12", "perday6"]
@@ -30,6 +30,12 @@ def shared(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], obje
     return _SHARED[key]
 
 
+def written_once(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A shared table, written by the first query that needs it."""
+    folder = sf_dir.rstrip("/").rsplit("/", 1)[-1]
+    return shared(spark, sf_dir, what, lambda: written(build(), f"{folder}/{what}"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,7 +75,8 @@ def raw_consumption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consumption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir, "consumption", lambda: raw_consumption(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK))
+    """The fact, written once and sorted by day inside its files so that date filters skip row groups."""
+    return written_once(spark, sf_dir, "consumption", lambda: raw_consumption(spark, sf_dir).sortWithinPartitions("fecha"))
 
 
 def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +98,7 @@ def closed_panel(spark: SparkSession, sf_dir: str) -> Panel:
 
 
 def frame(spark: SparkSession, sf_dir: str, horizon: int = 1) -> DataFrame:
-    return shared(spark, sf_dir, f"frame_h{horizon}", lambda: make_frame(closed_panel(spark, sf_dir), horizon).persist(StorageLevel.MEMORY_AND_DISK))
+    return written_once(spark, sf_dir, f"frame_h{horizon}", lambda: make_frame(closed_panel(spark, sf_dir), horizon))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:

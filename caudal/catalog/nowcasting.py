@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from caudal.catalog.domain import OPEN, closed, closed_panel, consumption, members, open_panel, shared
+from caudal.catalog.domain import OPEN, closed, closed_panel, consumption, members, open_panel, written_once
 from caudal.catalog.registry import cte, query, r, rounded, with_
 from caudal.operators import nowcast as nc
 from caudal.operators import scenarios as sc
@@ -23,9 +22,9 @@ def backtest(spark, sf):
     def build():
         panel = closed_panel(spark, sf)
         table = nc.nowcast_table(closed(spark, sf), panel, panel.last_mi - MONTHS + 1, panel.last_mi, DAY, nc.h1_reference(members(spark, sf), H1))
-        return table.persist(StorageLevel.MEMORY_AND_DISK)
+        return table
 
-    return shared(spark, sf, "nowcast_backtest", build)
+    return written_once(spark, sf, "nowcast_backtest", build)
 
 
 def nc_ctes(day: int = DAY, months: str = f"c.mi > span.last_mi - {MONTHS}") -> dict:
@@ -326,9 +325,9 @@ def with_scenarios(spark, sf, draws: int = 50):
             sc.scenario_means(scenario_draws(spark, sf, mi, draws, alone=True), mi, SIMULATED[1]), ["planta", "sku", "mi"]
         )
         table = nc.nowcast_table(closed(spark, sf), panel, mi, mi, DAY, nc.h1_reference(members(spark, sf), H1), extra)
-        return table.persist(StorageLevel.MEMORY_AND_DISK)
+        return table
 
-    return shared(spark, sf, "nowcast_scenarios", build)
+    return written_once(spark, sf, "nowcast_scenarios", build)
 
 
 @query("nowcast_month_benchmark")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from caudal.catalog.domain import MEMBERS, TEST_MONTHS, closed_panel, frame, members, shared
+from caudal.catalog.domain import MEMBERS, TEST_MONTHS, closed_panel, frame, members, written_once
 from caudal.catalog.registry import cte, query, r, rounded, with_
 from caudal.functions.scores import add_up, ranked, score_columns
 from caudal.operators import confidence, ensembles, levels
@@ -22,8 +21,7 @@ def window(spark, sf) -> tuple[int, int]:
 
 def combined(spark, sf):
     """The members and their ensembles, kept for the queries that score them."""
-    build = lambda: ensembles.add_ensembles(members(spark, sf), {"base": MEMBERS}, 1).persist(StorageLevel.MEMORY_AND_DISK)
-    return shared(spark, sf, "combined", build)
+    return written_once(spark, sf, "combined", lambda: ensembles.add_ensembles(members(spark, sf), {"base": MEMBERS}, 1))
 
 
 _SUMS = "count(*) as n, sum(abs(real - p)) as ae, sum(real - p) as e, sum(real) as real, sum(p) as p"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caudal.catalog.domain import OPEN, brand, closed, consumption, open_panel, shared
+from caudal.catalog.domain import OPEN, brand, closed, consumption, open_panel, written_once
 from caudal.catalog.registry import cte, query, r, rounded, with_
 from caudal.operators import changes, checks
 from caudal.operators.checks import Limits
@@ -42,9 +42,9 @@ def damaged(spark, sf) -> DataFrame:
         day = F.when((d == 21) & (b % 10 == 4), F.lit(None).cast("date")).otherwise(fecha)
         copies = F.when((d == 10) & (b % 10 == 2), 2).otherwise(1)
         out = df.select(planta.alias("planta"), sku.alias("sku"), day.alias("fecha"), consumo.alias("consumo"), F.explode(F.sequence(F.lit(1), copies)).alias("_"))
-        return out.drop("_").persist()
+        return out.drop("_")
 
-    return shared(spark, sf, "damaged", build)
+    return written_once(spark, sf, "damaged", build)
 
 
 cte("damaged", ("consumption",), """

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caudal.functions.numbers import uniform
+from caudal.session import cut_lineage
 
 SMALLEST_SE = 1e-12
 
@@ -39,6 +40,7 @@ def model_confidence_set(period_loss: DataFrame, models: list[str], block: int =
     pair statistics, and every p-value is an average over the draws computed in one pass.
     """
     spark = period_loss.sparkSession
+    period_loss = cut_lineage(period_loss.select("t", "modelo", "loss", "n"))  # months x models, read by several jobs
     months = period_loss.select("t").distinct()
     n_periods = months.count()
     block = min(block, max(1, n_periods // 3))

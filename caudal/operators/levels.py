@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caudal.functions.numbers import ratio
-from caudal.functions.scores import add_up, error_sums, ranked, score_columns
+from caudal.functions.scores import ERROR_SUMS, add_up, error_sums, ranked, score_columns
 from caudal.operators.features import direct_forecasts
 from caudal.operators.panel import Panel
 
@@ -42,15 +42,17 @@ def _months(panel: Panel, first: int, last: int) -> DataFrame:
 
 
 def level_sums(panel: Panel, res: DataFrame, models: list[str], first: int, last: int) -> DataFrame:
-    """(nivel, t, planta, modelo) error sums: series pooled per month, each planta, the total of each month."""
+    """(nivel, t, modelo) error sums of every month: series pooled, planta totals pooled, grand total."""
     sums = cells(res.where(F.col("t").between(first, last)), models)
     plantas = planta_cells(panel, sums, models, _months(panel, first, last))
     keys = ["t", "modelo"]
-    sku = sums.groupBy(*keys).agg(*add_up()).select(F.lit("sku").alias("nivel"), F.lit("").alias("planta"), *keys, "n", "abs_error", "error", "real", "pronostico")
-    by_planta = plantas.groupBy(*keys, "planta").agg(*error_sums(F.col("real"), F.col("p"))).withColumn("nivel", F.lit("planta"))
-    totals = plantas.groupBy(*keys).agg(F.sum("real").alias("real"), F.sum("p").alias("p"))
-    total = totals.groupBy(*keys).agg(*error_sums(F.col("real"), F.col("p"))).select(F.lit("total").alias("nivel"), F.lit("").alias("planta"), "*")
-    return sku.unionByName(by_planta).unionByName(total)
+    sku = sums.groupBy(*keys).agg(*add_up()).select(F.lit("sku").alias("nivel"), *keys, *ERROR_SUMS)
+    gap = F.col("error")
+    upper = plantas.groupBy(*keys).agg(*error_sums(F.col("real"), F.col("p"))).select(*keys, F.explode(F.array(
+        F.struct(F.lit("planta").alias("nivel"), "n", "abs_error", "error", "real", "pronostico"),
+        F.struct(F.lit("total").alias("nivel"), F.lit(1).cast("bigint").alias("n"), F.abs(gap).alias("abs_error"), "error", "real", "pronostico"),
+    )).alias("l"))
+    return sku.unionByName(upper.select(*keys, "l.*"))
 
 
 def score_models_by_level(panel: Panel, res: DataFrame, models: list[str], first: int, last: int) -> DataFrame:
@@ -86,15 +88,16 @@ def losses(panel: Panel, res: DataFrame, models: list[str], first: int, last: in
     if level == "sku":
         rows = long_forecasts(res.where(F.col("t").between(first, last)), models, ["t", "y"])
         return rows.select("t", "modelo", F.abs(F.col("y") - F.col("p")).alias("loss"))
-    sums = level_sums(panel, res, models, first, last).where(F.col("nivel") == level)
-    return sums.select("t", "modelo", F.col("abs_error").alias("loss"))
+    sums = cells(res.where(F.col("t").between(first, last)), models)
+    rows = planta_cells(panel, sums, models, _months(panel, first, last))
+    if level == "total":
+        rows = rows.groupBy("t", "modelo").agg(F.sum("real").alias("real"), F.sum("p").alias("p"))
+    return rows.select("t", "modelo", F.abs(F.col("real") - F.col("p")).alias("loss"))
 
 
 def period_losses(panel: Panel, res: DataFrame, models: list[str], first: int, last: int) -> DataFrame:
-    """Sum and count of the losses of every level, month and model: all the bootstrap needs, in one aggregation."""
-    return level_sums(panel, res, models, first, last).groupBy("nivel", "t", "modelo").agg(
-        F.sum("abs_error").alias("loss"), F.sum("n").alias("n")
-    )
+    """Sum and count of the losses of every level, month and model: all the bootstrap needs."""
+    return level_sums(panel, res, models, first, last).select("nivel", "t", "modelo", F.col("abs_error").alias("loss"), "n")
 
 
 def roll_up(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -51,6 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written once as Parquet in the shared folder and read back: later plans are a scan of it, with column
+    pruning and pushed filters, and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_within(df: DataFrame, rows: int, row_bytes: int = 128) -> DataFrame:
     """Hint a broadcast when `rows` (a known upper bound) is small enough; otherwise leave the join to Spark."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT else df
