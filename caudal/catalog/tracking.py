@@ -20,7 +20,7 @@ RUNS = [
     ("backtest-h1", "h1", "2001-12-01 00:00:00", None, "mean3"),
     ("backtest-directa", "directa", "2001-12-02 00:00:00", None, "naive"),
 ]
-WITHOUT_BRAND, UNKNOWN_BRAND = 12, 33
+WITHOUT_BRAND, UNKNOWN_BRAND = 12, 21
 RENAMED = {"lgbm": "mean3", "xgb": "mean6", "rf": "mean12", "naive": "naive"}
 
 
