@@ -1 +1,104 @@
-"""Filled below."""
+"""Learned forecasts (rows-only: the learners are not SQL) and the folds they are tuned on."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from caudal.catalog.domain import TEST_MONTHS, closed, closed_panel, consumption, frame, open_panel
+from caudal.catalog.registry import query, rounded, with_
+from caudal.operators.explore import candidate_summary
+from caudal.operators.levels import score_models_by_level
+from caudal.operators.month_state import resolve_strategy
+from caudal.plans import strategies as sg
+from caudal.plans import tuning as tn
+from caudal.plans.learners import Budget, fit, predicted, with_vector
+
+# Few and shallow trees: these queries show the runs; production uses the defaults of the learners.
+SMALL = Budget(max_trees=4, min_trees=4, rf_trees=5)
+SHALLOW = {
+    "lgbm": {"best_params": {"maxDepth": 2, "stepSize": 0.3}},
+    "xgb": {"best_params": {"maxDepth": 3, "stepSize": 0.3}},
+    "rf": {"best_params": {"maxDepth": 5, "featureSubsetStrategy": "all"}},
+}
+DAY = 15
+
+
+@query("forecast_next_month")
+def forecast_next_month(spark, sf):
+    panel = closed_panel(spark, sf)
+    return rounded(sg.direct_forecast(panel, panel.last_mi, 1, SHALLOW, SMALL))
+
+
+@query("forecast_two_months_direct")
+def forecast_two_months_direct(spark, sf):
+    panel = closed_panel(spark, sf)
+    return rounded(sg.direct_forecast(panel, panel.last_mi - 2, 2, SHALLOW, SMALL, "directa"))
+
+
+@query("forecast_by_plan")
+def forecast_by_plan(spark, sf):
+    """The strategy the open month asks for (its first days complete it)."""
+    df, panel = consumption(spark, sf), open_panel(spark, sf)
+    _, plan = resolve_strategy(df)
+    return rounded(sg.forecast_with_strategy(df, panel, plan.strategy, panel.index_of(plan.origin), plan.cutoff_day, SHALLOW, SMALL))
+
+
+@query("nowcast_input_forecast")
+def nowcast_input_forecast(spark, sf):
+    panel = closed_panel(spark, sf)
+    return rounded(sg.nowcast_input_forecast(closed(spark, sf), panel, panel.last_mi - 2, DAY, SHALLOW, SMALL))
+
+
+@query("iterated_forecast")
+def iterated_forecast(spark, sf):
+    panel = closed_panel(spark, sf)
+    return rounded(sg.iterated_forecast(panel, panel.last_mi - 2, SHALLOW, SMALL))
+
+
+@query("tweedie_forecast")
+def tweedie_forecast(spark, sf):
+    """The Tweedie loss through a generalised linear model."""
+    panel = closed_panel(spark, sf)
+    names = ["lag1", "mean3", "mean12", "n_days_t", "occ6"]
+    ready = with_vector(frame(spark, sf), names)
+    model = fit("tweedie", {"linkPower": 0.5}, ready.where(F.col("t") < panel.last_mi))
+    return rounded(predicted(model, ready.where(F.col("t") == panel.last_mi), "tweedie").select("planta", "sku", "t", "y", "tweedie"))
+
+
+@query("backtest_members")
+def backtest_members(spark, sf):
+    last = closed_panel(spark, sf).last_mi
+    return rounded(sg.collect_members(frame(spark, sf), [last - 1, last], 1, SHALLOW, SMALL))
+
+
+@query("horizon_strategies")
+def horizon_strategies(spark, sf):
+    """Direct, direct with first days, iterated and naive, two months ahead, scored at every level."""
+    panel = closed_panel(spark, sf)
+    res = sg.strategy_forecasts(closed(spark, sf), panel, [panel.last_mi], DAY, SHALLOW, SMALL)
+    models = ["direct", "partial", "iterated", "naive"]
+    return rounded(score_models_by_level(panel, sg.common_series(res, models), models, panel.last_mi, panel.last_mi))
+
+
+@query("tuning_folds", with_("frame span", f"""
+select k::int as fold, case when t <= s - 1 then 'train' else 'val' end as parte, t::int as t, count(*) as n
+from frame cross join span cross join (values (0), (1), (2)) v(k) cross join lateral (select last_mi - {TEST_MONTHS} - 8 + 3 * k as s) w
+where t <= s - 1 or t between s and s + 2 group by 1, 2, 3"""))
+def tuning_folds(spark, sf):
+    return tn.fold_table(frame(spark, sf), 1, closed_panel(spark, sf).last_mi - TEST_MONTHS)
+
+
+@query("tuning_search")
+def tuning_search(spark, sf):
+    end = closed_panel(spark, sf).last_mi - TEST_MONTHS
+    study = tn.run_study("rf", frame(spark, sf), 1, end, 2, budget=SMALL, base=SHALLOW["rf"]["best_params"])
+    return rounded(study.select("trial", "wape", F.map_entries("params").cast("string").alias("params")))
+
+
+@query("tuning_candidate")
+def tuning_candidate(spark, sf):
+    panel = closed_panel(spark, sf)
+    scores = tn.compare_base_and_tuned(
+        "rf", {"maxDepth": 6, "featureSubsetStrategy": "all"}, frame(spark, sf), panel, 1, [panel.last_mi], [0], SMALL, SHALLOW["rf"]["best_params"]
+    )
+    return rounded(candidate_summary(scores))
