@@ -131,17 +131,15 @@ def scenario_bands(draws: DataFrame, real: DataFrame) -> DataFrame:
     """Per level: observations, and the share whose real rest lies inside the 10-90 percent band of the draws.
 
     `real` has planta, sku, resto_real. A band needs only the draws of its own key."""
-    joined = draws.join(real, SERIES)
-    out = None
-    for level, keys in (("SKU", SERIES), ("planta", ["planta"]), ("total", [])):
-        sums = joined.groupBy("draw", *keys).agg(F.sum("resto").alias("resto"), F.sum("resto_real").alias("real"))
-        band = sums.groupBy(*keys).agg(
-            F.percentile("resto", F.array(F.lit(0.1), F.lit(0.9))).alias("banda"), F.max("real").alias("real"), F.avg("resto").alias("media")
-        )
-        inside = F.col("real").between(F.col("banda")[0] - 1e-9, F.col("banda")[1] + 1e-9)
-        part = band.agg(
-            F.lit(level).alias("nivel"), F.count(F.lit(1)).alias("n"), F.avg(inside.cast("double")).alias("cobertura_10_90"),
-            F.sum("media").alias("resto_medio"), F.sum("real").alias("resto_real"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    sets = [[F.col(c) for c in keys] for keys in (["draw", "planta", "sku"], ["draw", "planta"], ["draw"])]
+    level = F.when(F.grouping("sku") == 0, "SKU").when(F.grouping("planta") == 0, "planta").otherwise("total")
+    sums = draws.join(real, SERIES).groupingSets(sets, F.col("draw"), F.col("planta"), F.col("sku")).agg(
+        F.sum("resto").alias("resto"), F.sum("resto_real").alias("real"), level.alias("nivel")
+    )
+    band = sums.groupBy("nivel", "planta", "sku").agg(
+        F.percentile("resto", F.array(F.lit(0.1), F.lit(0.9))).alias("banda"), F.max("real").alias("real"), F.avg("resto").alias("media")
+    )
+    inside = F.col("real").between(F.col("banda")[0] - 1e-9, F.col("banda")[1] + 1e-9)
+    return band.groupBy("nivel").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(inside.cast("double")).alias("cobertura_10_90"), F.sum("media").alias("resto_medio"), F.sum("real").alias("resto_real")
+    )
