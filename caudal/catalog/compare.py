@@ -168,10 +168,10 @@ def planner_accuracy(spark, sf):
 
 
 @query("planner_accuracy_by_month", with_("lg", f"""
-select mes, {', '.join(f"round_even((1 - sum(abs(real - f)) filter (where modelo = '{c}') / sum(real) filter (where modelo = '{c}')) * 100, 1) as {c}" for c in [*SOURCES, 'naive'])}
+select mes, {', '.join(r(f"(1 - sum(abs(real - f)) filter (where modelo = '{c}') / sum(real) filter (where modelo = '{c}')) * 100", c) for c in [*SOURCES, 'naive'])}
 from lg group by mes""", lg=_acc("cmp", [*SOURCES, "naive"], "internal is not null")))
 def planner_accuracy_by_month(spark, sf):
-    return cp.accuracy_by(cp.in_all_sources(table(spark, sf)), [*SOURCES, "naive"], ["mes"])
+    return rounded(cp.accuracy_by(cp.in_all_sources(table(spark, sf)), [*SOURCES, "naive"], ["mes"]))
 
 
 _ERRORS = "abs(planner - real) as a, abs(ml_mean - real) as b, abs(internal - real) as c"
@@ -184,12 +184,12 @@ def closest_counts(spark, sf):
 
 
 @query("planner_by_planta", with_("cmp", f"""
-select planta, count(*) as rows, round_even(sum(real), 0) as "real_TO", round_even(sum(planner), 0) as "planner_TO",
-       {', '.join(f'round_even((1 - sum(abs({c} - real)) / sum(real)) * 100, 1) as acc_{c}' for c in [*SOURCES, 'naive'])},
+select planta, count(*) as rows, {r('sum(real)', '"real_TO"')}, {r('sum(planner)', '"planner_TO"')},
+       {', '.join(r(f'(1 - sum(abs({c} - real)) / sum(real)) * 100', f'acc_{c}') for c in [*SOURCES, 'naive'])},
        {', '.join(f"count(*) filter (where w = '{c}') as closest_{c}" for c in SOURCES)}
 from (select *, {_WINNER} as w from (select *, {_ERRORS} from cmp where internal is not null)) group by planta"""))
 def planner_by_planta(spark, sf):
-    return cp.by_planta(cp.in_all_sources(table(spark, sf)), SOURCES, ["naive"])
+    return rounded(cp.by_planta(cp.in_all_sources(table(spark, sf)), SOURCES, ["naive"]))
 
 
 @query("planner_closer", with_("cmp", " union all ".join(

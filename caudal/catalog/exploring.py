@@ -88,7 +88,7 @@ def normalized_names(spark, sf):
 
 
 @query("name_suggestions", with_("consumption", """
-select nombre, round(puntos, 6) + 0.0::double as puntos from (
+select nombre, round(puntos + 3e-10, 6) + 0.0::double as puntos from (
   select nombre, case when starts_with(n, 'b13 01') then 900 - length(n) / 1000 when n like '%b13%' and n like '%01%' then 700 - length(n) / 1000 end as puntos
   from (select distinct sku as nombre, trim(regexp_replace(lower(sku), '[^a-z0-9]+', ' ', 'g')) as n from consumption))
 where puntos is not null order by puntos desc, nombre limit 8"""))

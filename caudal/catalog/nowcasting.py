@@ -148,7 +148,7 @@ def pseudo_month_panel(spark, sf):
 
 
 @query("month_in_progress", with_("state consumption", f"""
-select planta, {r('sum(consumo) filter (where fecha >= month_first)', 'real_hasta_corte_TO')},
+select planta, {r('coalesce(sum(consumo) filter (where fecha >= month_first), 0)', 'real_hasta_corte_TO')},
        {r("coalesce(sum(consumo) filter (where fecha >= month_first and isodow(fecha) <> 7), 0) / max(seen) * max(days_left)", 'resto_estimado_TO')}
 from (select c.*, s.*, len(list_filter(generate_series(month_first::timestamp, s.last_day::timestamp, interval 1 day), lambda d: isodow(d) <> 7)) as seen
       from consumption c cross join state s where exists (select 1 from consumption a where a.planta = c.planta and a.sku = c.sku and a.fecha < s.month_first))

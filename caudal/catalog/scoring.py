@@ -73,12 +73,12 @@ def scores_by_month(spark, sf):
 
 
 @query("accuracy_by_month_pivot", with_("long cal", f"""
-select cal.mes, {', '.join(f"round_even((1 - sum(abs(real - p)) filter (where modelo = '{m}') / sum(real) filter (where modelo = '{m}')) * 100, 1) as {m}" for m in MEMBERS)}
+select cal.mes, {', '.join(r(f"(1 - sum(abs(real - p)) filter (where modelo = '{m}') / sum(real) filter (where modelo = '{m}')) * 100", m) for m in MEMBERS)}
 from long join cal on cal.mi = long.t group by cal.mes""", **level_ctes(MEMBERS)))
 def accuracy_by_month_pivot(spark, sf):
     panel = closed_panel(spark, sf)
     scores = levels.scores_by_month(members(spark, sf), MEMBERS).withColumn("mes", panel.label(F.col("t")))
-    return levels.accuracy_pivot(scores, "mes", MEMBERS)
+    return rounded(levels.accuracy_pivot(scores, "mes", MEMBERS))
 
 
 @query("last_test_months", with_("members", "select distinct t::int as t from members"))

@@ -9,6 +9,7 @@ from caudal.catalog.domain import TEST_MONTHS, brand, closed, closed_panel, cons
 from caudal.catalog.registry import cte, query, r, rounded, with_
 from caudal.catalog.scoring import combined
 from caudal.operators import tracking as tr
+from caudal.operators.month_state import detect_month_state
 from caudal.operators.tracking import LEVELS, MODELS
 
 BY = ["mes", "run_id", "estrategia"]
@@ -241,7 +242,8 @@ where c.mi > span.last_mi - {TEST_MONTHS + 1} - case when days_left > 0 then 0 e
       and not exists (select 1 from tr where tr.mes = c.mes and tr.estrategia = e.estrategia and not starts_with(run_id, 'backtest-'))"""))
 def tracking_pending(spark, sf):
     mine = saved(spark, sf)
-    return tr.to_measure(mine, rows(spark, sf), tr.month_closed(consumption(spark, sf), mine.select("mes")))
+    last = detect_month_state(consumption(spark, sf)).last_complete
+    return tr.to_measure(mine, rows(spark, sf), mine.select("mes", (F.col("mes") <= last).alias("cerrado")))
 
 
 @query("backtest_forecast_tables", with_("ensembled cal", f"""
@@ -250,7 +252,8 @@ def backtest_forecast_tables(spark, sf):
     return rounded(tr.forecast_tables(combined(spark, sf), closed_panel(spark, sf), {"ml_mean": "p_base_mean", "naive": "p_naive"}))
 
 
-@query("tracking_end_to_end", with_("tr", f"select run_id, mes, nivel, planta, modelo, {_NUMBERS}, alerta, creado_en, estrategia, corte from tr where run_id = 'run-c'"))
+@query("tracking_end_to_end", with_("tr closed", f"""select run_id, mes, nivel, planta, modelo, {_NUMBERS}, alerta, creado_en, estrategia, corte from tr
+where run_id = 'run-c' and (select len(list_filter(generate_series(max(fecha) + interval 1 day, last_day(max(fecha))::timestamp, interval 1 day), lambda d: isodow(d) <> 7)) from closed where strftime(fecha, '%Y-%m') = tr.mes) = 0"""))
 def tracking_end_to_end(spark, sf):
     mine = forecasts(spark, sf).where(F.col("run_id") == "run-c")
     return rounded(tr.track(closed(spark, sf), closed_panel(spark, sf), mine, BY, when_created(), cutoff()))

@@ -125,7 +125,7 @@ def accuracy_table(table: DataFrame, columns: list[str]) -> DataFrame:
 def accuracy_by(table: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Accuracy in percent by the keys, one column per source."""
     scores = source_sums(table, columns, keys).select(*keys, "modelo", *score_columns())
-    return scores.groupBy(*keys).pivot("modelo", columns).agg(F.first(F.bround(F.col("accuracy") * 100, 1)))
+    return scores.groupBy(*keys).pivot("modelo", columns).agg(F.first(F.col("accuracy") * 100))
 
 
 def closest(sources: list[str]) -> Column:
@@ -144,9 +144,9 @@ def closest_counts(table: DataFrame, sources: list[str]) -> DataFrame:
 def by_planta(table: DataFrame, sources: list[str], extra: list[str]) -> DataFrame:
     """Rows, volumes, accuracy in percent and closest counts of every planta, in one aggregation."""
     real = F.sum("real")
-    accuracy = lambda c: F.bround((1.0 - ratio(F.sum(F.abs(F.col(c) - F.col("real"))), real)) * 100, 1)
+    accuracy = lambda c: (1.0 - ratio(F.sum(F.abs(F.col(c) - F.col("real"))), real)) * 100
     return table.withColumn("_closest", closest(sources)).groupBy("planta").agg(
-        F.count(F.lit(1)).alias("rows"), F.bround(real, 0).alias("real_TO"), F.bround(F.sum("planner"), 0).alias("planner_TO"),
+        F.count(F.lit(1)).alias("rows"), real.alias("real_TO"), F.sum("planner").alias("planner_TO"),
         *[accuracy(c).alias(f"acc_{c}") for c in [*sources, *extra]], *[F.count_if(F.col("_closest") == s).alias(f"closest_{s}") for s in sources],
     )
 

@@ -68,7 +68,7 @@ def scores_by_month(res: DataFrame, models: list[str]) -> DataFrame:
 
 def accuracy_pivot(scores: DataFrame, months: str, models: list[str]) -> DataFrame:
     """Accuracy in percent, one row per month and one column per model."""
-    return scores.groupBy(months).pivot("modelo", models).agg(F.first(F.bround(F.col("accuracy") * 100, 1)))
+    return scores.groupBy(months).pivot("modelo", models).agg(F.first(F.col("accuracy") * 100))
 
 
 def reconcile(res: DataFrame, panel: Panel, horizon: int, column: str, out: str) -> DataFrame:

@@ -258,7 +258,7 @@ def top_errors(panel: Panel, forecast: DataFrame, n: int = TOP_ERRORS) -> DataFr
 
 
 def to_measure(saved: DataFrame, tracked: DataFrame, closed: DataFrame) -> DataFrame:
-    """Saved forecasts (mes, estrategia) whose month has closed and that no production run has measured."""
+    """Saved forecasts (mes, estrategia) whose month has closed (mes, cerrado) and that no production run has measured."""
     ready = saved.join(closed.where("cerrado").select("mes"), "mes", "left_semi")
     return ready.join(production(tracked).select("mes", "estrategia").distinct(), ["mes", "estrategia"], "left_anti")
 
