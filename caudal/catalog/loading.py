@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caudal.catalog.domain import MEMBERS, brand, closed, closed_panel, consumption, members, open_panel, shared, written_once
+from caudal.catalog.domain import MEMBERS, brand, closed, closed_panel, consumption, frame, members, open_panel, shared, written_once
 from caudal.catalog.registry import cte, query, r, rounded, with_
 from caudal.catalog.scoring import combined
 from caudal.functions.skus import column_month, header_month
 from caudal.operators import loading as ld
+from caudal.plans.strategies import common_series
 from caudal.session import checkpoint_dir
 from caudal.sources import exports as ex
 from caudal.sources import store as st
@@ -306,3 +307,32 @@ def run_record(spark, sf):
         get("$.data.rows").cast("bigint").alias("rows"), get("$.data.first_date").alias("first_date"), get("$.data.last_date").alias("last_date"),
         get("$.output.rows").cast("bigint").alias("series"), F.round(get("$.output.total_ml_mean").cast("double"), 1).alias("total_ml_mean"),
     )
+
+
+@query("prediction_batches", with_("cachep lastf", "select estrategia, modelo, count(*) as n, " + r("sum(valor)", "valor") + " from (select estrategia, modelo, valor from cachep union all " + " union all ".join(
+    f"select 'guardado', '{m}', {m} from lastf" for m in ("lgbm", "xgb", "rf", "ml_mean", "naive")) + ") group by 1, 2"))
+def prediction_batches(spark, sf):
+    union = st.all_batches([cache_predictions(spark, sf), st.predictions_from_forecast(last_forecast(spark, sf), "guardado")])
+    return rounded(union.groupBy("estrategia", "modelo").agg(F.count(F.lit(1)).alias("n"), F.sum("valor").alias("valor")))
+
+
+@query("runs_upsert", with_("cachep", """
+select mes_objetivo as run_id, count(*) as filas, case when mes_objetivo >= (select max(mes_objetivo) from cachep) then 'nueva' else 'vieja' end as origen from cachep group by 1"""))
+def runs_upsert(spark, sf):
+    """A table of runs where the newest one is stored again."""
+    runs = cache_predictions(spark, sf).groupBy(F.col("mes_objetivo").alias("run_id")).agg(F.count(F.lit(1)).alias("filas")).withColumn("origen", F.lit("vieja"))
+    panel = closed_panel(spark, sf)
+    again = runs.where(F.col("run_id") == panel.label_of(panel.last_mi)).withColumn("origen", F.lit("nueva"))
+    return st.upsert(runs, again, ["run_id"])
+
+
+cte("h2", ("panel", "span"), "select p.planta, p.sku, p.mi + 2 as t, p.y as p_naive, q.y as y from panel p cross join span join panel q on q.planta = p.planta and q.sku = p.sku and q.mi = p.mi + 2 where p.mi >= 3 and p.mi + 2 <= last_mi")
+
+
+@query("two_months_with_reference", with_("h2 ensembled", f"""
+select h.planta, h.sku, h.t::int as t, {r('h.y', 'y')}, {r('h.p_naive', 'p_naive')}, {r('e.p_base_mean', 'p_ref_h1')} from h2 h join ensembled e on e.planta = h.planta and e.sku = h.sku and e.t = h.t"""))
+def two_months_with_reference(spark, sf):
+    """The two-month table with the one-month reference attached, on the rows both have."""
+    reference = combined(spark, sf).select("planta", "sku", "t", F.col("p_base_mean").alias("p_ref_h1"))
+    joined = frame(spark, sf, 2).select("planta", "sku", "t", "y", "p_naive").join(reference, ["planta", "sku", "t"], "left")
+    return rounded(common_series(joined, ["naive", "ref_h1"]))

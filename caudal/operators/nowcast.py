@@ -52,10 +52,16 @@ def first_days(df: DataFrame, panel: Panel, day: int, first: int, last: int) ->
 
 
 def alive_before(panel: Panel, first: int, last: int) -> DataFrame:
-    """(planta, sku, mi, mes_anterior): the series that existed in the month before each month first..last."""
-    return panel.dense().where(F.col("mi").between(first - 1, last - 1)).select(
-        *SERIES, (F.col("mi") + 1).alias("mi"), F.col("y").alias("mes_anterior")
-    )
+    """(planta, sku, mi, mes_anterior): the series that existed in the month before each month first..last.
+
+    One aggregation per series with a column per month asked for; the panel is not densified for a few months."""
+    months = range(max(first - 1, 0), last)
+    value = lambda m: F.coalesce(F.sum(F.when(F.col("mi") == m, F.col("y"))), F.lit(0.0))
+    past = panel.known().where(F.col("mi") < last)
+    series = past.groupBy(*SERIES).agg(F.min("mi").alias("_first"), *[value(m).alias(f"_y{m}") for m in months])
+    asked = F.array(*[F.struct(F.lit(m + 1).alias("mi"), F.col(f"_y{m}").alias("mes_anterior")) for m in months])
+    kept = F.filter(asked, lambda x: x["mi"] > F.col("_first"))
+    return series.select(*SERIES, F.explode(kept).alias("m")).select(*SERIES, "m.mi", "m.mes_anterior")
 
 
 def completed(panel: Panel, base: DataFrame, seen: DataFrame, day: int) -> DataFrame:
