@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import statistics
 
 import pytest
 
@@ -7,6 +9,9 @@ from caudal.operators.checks import InputError, Limits
 from caudal.operators.panel import build_panel
 
 
+D0 = dt.date(2024, 1, 1)
+
+
 def clean_rows():
     """Every working day of half a year, 3 plantas x 2 SKUs: nothing to find."""
     rows, day, i = [], dt.date(2024, 1, 1), 0
@@ -94,3 +99,16 @@ def test_description_by_hand(make_fact):
     df = make_fact([("A", "s1", dt.date(2024, 1, d), v) for d, v in ((1, 2.0), (3, 0.0), (5, 4.0))])
     row = changes.describe_series(df).first()
     assert (row["n_obs"], row["span_days"], row["mean"], row["std"], row["pct_zero"], row["coverage_pct"], row["cv"]) == (3, 5, 2.0, 2.0, 33.3, 60.0, 1.0)
+
+
+def test_medians_are_exact(spark):
+    rng = random.Random(5)
+    rows = [("A", f"s{k}", D0, float(rng.choice([rng.randrange(1, 4), rng.randrange(1, 10**6)]))) for k in range(12) for _ in range(k * k * 40 + 1)]
+    rows += [("B", "hot", D0, round(rng.random() * 1000, 3) + 0.001) for _ in range(30001)] + [("B", "flat", D0, 2.0)] * 5000 + [("B", "none", D0, 0.0)]
+    df = spark.createDataFrame(rows, "planta string, sku string, fecha date, consumo double")
+    got = {(r["planta"], r["sku"]): r["mediana"] for r in checks.positive_medians(df).collect()}
+    values = {}
+    for p, s, _, v in rows:
+        if v > 0:
+            values.setdefault((p, s), []).append(v)
+    assert got == {k: statistics.median(v) for k, v in values.items()}
