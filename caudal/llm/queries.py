@@ -7,11 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from caudal.llm import sql
+from caudal.llm.bpe import encode
+from caudal.llm.chat import chat_digests, probe
 from caudal.llm.exact import exact_duplicates
 from caudal.llm.tables import table
 from caudal.llm.warc import archived_pages
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digests(given.unionByName(probe(spark)))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, tokenizer_path()).select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -20,5 +39,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_exact_dedup, op10_warc)}
-SQL: dict[str, str] = {"op6_exact_dedup": sql.EXACT_DEDUP, "op10_warc": sql.WARC}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_chat, op5_bpe, op6_exact_dedup, op10_warc)}
+SQL: dict[str, str] = {"op4_chat": sql.CHAT, "op6_exact_dedup": sql.EXACT_DEDUP, "op10_warc": sql.WARC}
