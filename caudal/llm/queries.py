@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from caudal.llm import sql
 from caudal.llm.bpe import encode
 from caudal.llm.chat import chat_digests, probe
 from caudal.llm.exact import exact_duplicates
+from caudal.llm.substring import without_repeats
 from caudal.llm.tables import table
 from caudal.llm.warc import archived_pages
 
@@ -21,6 +23,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeats(docs).select("doc.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digests(given.unionByName(probe(spark)))
@@ -39,5 +46,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_chat, op5_bpe, op6_exact_dedup, op10_warc)}
-SQL: dict[str, str] = {"op4_chat": sql.CHAT, "op6_exact_dedup": sql.EXACT_DEDUP, "op10_warc": sql.WARC}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op4_chat, op5_bpe, op6_exact_dedup, op10_warc)}
+SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING_DEDUP, "op4_chat": sql.CHAT, "op6_exact_dedup": sql.EXACT_DEDUP, "op10_warc": sql.WARC}

@@ -30,3 +30,18 @@ select conv_id, count(*) as n_turns,
     cast(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) as bigint) as formatted_chars
 from said group by conv_id
 """
+
+SUBSTRING_DEDUP = r"""
+with split as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+starts as (select doc_id, words, unnest(range(1, len(words) - 48)) as i from split),
+windows as (select doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) as w from starts),
+repeats as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by w) as least from windows) where doc_id > least),
+covered as (select distinct doc_id, unnest(range(i, i + 50)) as at from repeats),
+placed as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as at from split),
+kept as (
+    select p.doc_id, count(*) as n_kept, string_agg(word, ' ' order by p.at) as kept
+    from placed p anti join covered c on p.doc_id = c.doc_id and p.at = c.at group by p.doc_id
+)
+select s.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n_kept, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from split s left join kept k on s.doc_id = k.doc_id
+"""
