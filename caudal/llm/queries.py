@@ -11,6 +11,7 @@ from caudal.llm import sql
 from caudal.llm.bpe import encode
 from caudal.llm.chat import chat_digests, probe
 from caudal.llm.exact import exact_duplicates
+from caudal.llm.jaccard import near_duplicates
 from caudal.llm.substring import without_repeats
 from caudal.llm.tables import table
 from caudal.llm.warc import archived_pages
@@ -42,9 +43,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op4_chat, op5_bpe, op6_exact_dedup, op10_warc)}
-SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING_DEDUP, "op4_chat": sql.CHAT, "op6_exact_dedup": sql.EXACT_DEDUP, "op10_warc": sql.WARC}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op4_chat, op5_bpe, op6_exact_dedup, op7_jaccard_join, op10_warc)}
+SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING_DEDUP, "op4_chat": sql.CHAT, "op6_exact_dedup": sql.EXACT_DEDUP, "op7_jaccard_join": sql.JACCARD_JOIN, "op10_warc": sql.WARC}

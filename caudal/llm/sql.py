@@ -45,3 +45,18 @@ kept as (
 select s.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n_kept, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from split s left join kept k on s.doc_id = k.doc_id
 """
+
+JACCARD_JOIN = r"""
+with recursive split as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+long as (select doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')))) as s from split where len(w) >= 3),
+elements as (select * from long union all select doc_id, array_to_string(w, ' ') || ' ' from split where len(w) in (1, 2)),
+sizes as (select doc_id, count(*) as n from elements group by doc_id),
+common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as shared from elements a join elements b on a.s = b.s and a.doc_id <> b.doc_id
+    group by all
+),
+links as (select a, b from common c join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 90 * (x.n + y.n - shared)),
+reach(doc_id, node) as (select doc_id, doc_id from split union select r.doc_id, l.b from reach r join links l on l.a = r.node)
+select s.doc_id, cast(coalesce(any_value(z.n), 0) as bigint) as n_shingles, min(r.node) as component_id
+from split s join reach r on r.doc_id = s.doc_id left join sizes z on z.doc_id = s.doc_id group by s.doc_id
+"""
