@@ -35,6 +35,13 @@ CACHED_WORDS = 400_000  # a worker forgets what it has merged when it holds more
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file that is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def byte_characters() -> list[str]:
     """The character for each byte: printable bytes are themselves, the others follow from 256 on."""
     others = iter(range(256, 512))

@@ -319,7 +319,8 @@ def set_links(texts: DataFrame, named: DataFrame, rule: Rule, boundary: int | No
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), boundary: int | None = None) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id): one row per document; the smallest doc_id that links reach."""
+    """(doc_id, text_key, n_shingles, component, component_id): one row per document. `component` names its component (null
+    for an empty set), component_id is the smallest doc_id that links reach."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     named = settled(texts.mapInArrow(lambda b: name_sets(b, rule), "doc_id long, text_key long, n_shingles long, set_a long, set_b long"), "named-sets")
     there = named.where("n_shingles > 0")
@@ -330,6 +331,17 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), boundary: int | None =
     by_set = there.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least")).select(name.alias("node"), "least")
     placed = settled(by_set.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed-sets")
     by_component = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = settled(placed.select("node", "component").join(by_component, "component").select(F.col("node.a").alias("set_a"), F.col("node.b").alias("set_b"), "component_id"), "component-ids")
-    linked = there.join(ids, ["set_a", "set_b"]).select("doc_id", "text_key", "n_shingles", "component_id")
-    return linked.unionByName(named.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id")))
+    ids = settled(placed.select("node", "component").join(by_component, "component").select(F.col("node.a").alias("set_a"), F.col("node.b").alias("set_b"), "component", "component_id"), "component-ids")
+    linked = there.join(ids, ["set_a", "set_b"]).select("doc_id", "text_key", "n_shingles", "component", "component_id")
+    alone = F.lit(None).cast(linked.schema["component"].dataType).alias("component")
+    return linked.unionByName(named.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", alone, F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The documents without near duplicates: of each component the one with the smallest doc_id (null last) stays, as do
+    all with an empty set; rows with the same doc_id and text count as one. All columns pass through."""
+    groups = settled(near_duplicates(docs, rule).select(F.struct("doc_id").alias("id"), "text_key", "component"), "near-groups")
+    first = groups.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id.doc_id").isNull().alias("no_id"), "id", "text_key")).alias("stays"))
+    kept = first.select("stays.id", "stays.text_key").unionByName(groups.where("component is null").select("id", "text_key").distinct())
+    inside = docs.select(F.struct("*").alias("doc"), F.struct("doc_id").alias("id"), F.xxhash64("text").alias("text_key"))
+    return inside.join(kept, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]).select("doc.*")

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from caudal.llm import sql
-from caudal.llm.bpe import encode
+from caudal.llm.bpe import encode, tokenizer_path
 from caudal.llm.chat import chat_digests, probe
+from caudal.llm.decontaminate import contaminations
 from caudal.llm.exact import exact_duplicates
 from caudal.llm.jaccard import near_duplicates
 from caudal.llm.quality import quality_scores
@@ -18,11 +20,8 @@ from caudal.llm.tables import table
 from caudal.llm.warc import archived_pages
 
 
-def tokenizer_path() -> str:
-    """The public vocabulary file installed on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +52,13 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality, op4_chat, op5_bpe, op6_exact_dedup, op7_jaccard_join, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_quality, op4_chat, op5_bpe, op6_exact_dedup, op7_jaccard_join, op8_decontamination, op10_warc)}
 SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING_DEDUP, "op4_chat": sql.CHAT, "op6_exact_dedup": sql.EXACT_DEDUP, "op7_jaccard_join": sql.JACCARD_JOIN, "op10_warc": sql.WARC}
