@@ -15,6 +15,7 @@ from caudal.llm.decontaminate import contaminations
 from caudal.llm.exact import exact_duplicates
 from caudal.llm.jaccard import near_duplicates
 from caudal.llm.language_model import lm_scores
+from caudal.llm.pii import pii_digests
 from caudal.llm.quality import quality_scores
 from caudal.llm.substring import without_repeats
 from caudal.llm.tables import table
@@ -35,6 +36,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, table(spark, sf_dir, "labels")).select("doc.doc_id", "held_out", "score", "predicted")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digests(given.unionByName(probe(spark)))
@@ -66,5 +71,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_quality, op4_chat, op5_bpe, op6_exact_dedup, op7_jaccard_join, op8_decontamination, op9_lm_scoring, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_quality, op3_pii, op4_chat, op5_bpe, op6_exact_dedup, op7_jaccard_join, op8_decontamination, op9_lm_scoring, op10_warc)}
 SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING_DEDUP, "op4_chat": sql.CHAT, "op6_exact_dedup": sql.EXACT_DEDUP, "op7_jaccard_join": sql.JACCARD_JOIN, "op10_warc": sql.WARC}
