@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caudal.llm.tables import doc_and
+
 NONE = np.int64(2**62)
 SHORT = 64  # symbols; longer words get a tree of their own
 CACHED_WORDS = 400_000  # a worker forgets what it has merged when it holds more
@@ -304,8 +306,9 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool
 def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """`docs` with column `text`: a struct `doc` of all its columns, n_tokens, ids_sha256 (of the decimal ids joined by a
     space), decoded_sha256 and, if asked for, the ids."""
-    schema = f"doc {docs.select(F.struct('*').alias('doc')).schema['doc'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.struct("*").alias("doc"), F.col("text")).mapInArrow(lambda batches: encoded_batches(batches, path, with_ids), schema)
+    inside = docs.select(F.struct("*").alias("doc"), docs["text"].alias("text"))
+    schema = doc_and(inside, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return inside.mapInArrow(lambda batches: encoded_batches(batches, path, with_ids), schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caudal.llm.tables import doc_and
+
 from caudal.llm.words import Rolling, mixed, row_slices, text_bytes, words_of
 
 SHARE = 0.2
@@ -260,7 +262,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
 def search(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL) -> DataFrame:
     """`docs` (text, ...): a struct `doc` of all its columns, and `matches` (item_id, start, end in words, distance)."""
     out = docs.select(F.struct("*").alias("doc"), docs["text"].alias("text"), F.array().cast(MATCHES).alias("matches"))
-    schema = f"doc {out.schema['doc'].dataType.simpleString()}, text string, matches {MATCHES}"
+    schema = doc_and(out, f"text string, matches {MATCHES}")
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("distance", pa.int32())]))
     for ids, texts in item_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(prepared(ids, texts, share, recall))  # BLOCK_WORDS words at most

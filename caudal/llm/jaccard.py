@@ -10,8 +10,8 @@ Two sets that reach the threshold share at least the ceiling of threshold * size
   of each, so every set that can reach the size of a heavy partner is entered in the lists of these elements.
 
 The boundary is where enumerating subsets begins to cost more rows than the lists have entries, as the table of counts
-tells. Candidates must agree in size, and the counts of their elements in 64 cells must allow the overlap needed; both
-tests lose nothing. What remains is compared exactly, element by element.
+tells. Candidates must agree in size, and no more of the `PROFILE` cells may differ in parity than elements may differ;
+both tests lose nothing. What remains is compared exactly, element by element.
 
 Groups of near copies are not expanded into pairs: of each list first only neighbours are compared, the links found give
 components, and then only pairs from different components are compared. Long lists are dealt out as pairs of blocks.
@@ -37,7 +37,7 @@ from caudal.llm.words import Rolling, mixed, row_slices, signed, sorted_groups,
 
 CELLS = 1 << 20  # of the table of counts: 8 MB, whatever the input
 PART = 4096  # cells in one row while the table is added up
-PROFILE = 64  # cells of a set's profile
+PROFILE = 1024  # bits of a set's profile: whether a cell has an odd number of elements
 BLOCK = 2048  # members of a list that are compared in one group
 
 
@@ -183,12 +183,13 @@ def list_entries(batches: Iterator[pa.RecordBatch], shared, rule: Rule, boundary
 
 
 def profiles(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """(set_a, set_b, text) with size and profile: how many elements fall in each of 64 cells."""
+    """(set_a, set_b, text) with size and profile: which cells hold an odd number of elements."""
     for batch in batches:
         for a, b, sets in set_slices(batch.column(2), rule.shingle):
-            counts = np.bincount(sets.row * PROFILE + (sets.elements >> np.uint64(58)).astype(np.int64), minlength=(b - a) * PROFILE).astype(np.int32).reshape(b - a, PROFILE)
+            odd = np.bincount(sets.row * PROFILE + (sets.elements >> np.uint64(54)).astype(np.int64), minlength=(b - a) * PROFILE) & 1
+            bits = np.packbits(odd.astype(bool).reshape(b - a, PROFILE), axis=1)
             part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets.sizes.astype(np.int32)), pa.array([x.tobytes() for x in counts], pa.binary())], ["set_a", "set_b", "text", "size", "profile"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets.sizes.astype(np.int32)), pa.array([x.tobytes() for x in bits], pa.binary())], ["set_a", "set_b", "text", "size", "profile"])
 
 
 def candidate_pairs(batches: Iterator[pa.RecordBatch], rule: Rule, neighbours: bool) -> Iterator[pa.RecordBatch]:
@@ -199,7 +200,7 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], rule: Rule, neighbours: b
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         col = {c: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "block", "set_a", "set_b", "size", "side", "component_a", "component_b")}
-        counts = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.int32).reshape(-1, PROFILE)
+        bits = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.uint64).reshape(-1, PROFILE // 64)
         new = np.concatenate([[True], (col["key"][1:] != col["key"][:-1]) | (col["block"][1:] != col["block"][:-1])])
         group = np.cumsum(new)
         at, step, n = np.arange(len(group)), 0, len(group)
@@ -216,8 +217,8 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], rule: Rule, neighbours: b
                 low, high = np.minimum(col["size"][piece], col["size"][to]).astype(np.int64), np.maximum(col["size"][piece], col["size"][to]).astype(np.int64)
                 ok &= low * 100 >= high * rule.percent
                 i, j = piece[ok], to[ok]
-                overlap = np.minimum(counts[i], counts[j]).sum(axis=1)
-                fits = overlap * (100 + rule.percent) >= rule.percent * (low[ok] + high[ok])
+                differing = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                fits = differing * (100 + rule.percent) <= (100 - rule.percent) * (low[ok] + high[ok])
                 i, j = i[fits], j[fits]
                 if len(i):
                     swap = (col["set_a"][i] > col["set_a"][j]) | ((col["set_a"][i] == col["set_a"][j]) & (col["set_b"][i] > col["set_b"][j]))

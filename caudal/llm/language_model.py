@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caudal.llm.tables import settled, shared_path
+from caudal.llm.tables import doc_and, settled, shared_path
 from caudal.llm.words import row_slices, text_bytes, words_of
 
 FOLDS = 5
-SHARD_DOCUMENTS = 16_000
-FLUSH = 6_000_000  # keys that a task holds before it deals them out
+SHARD_DOCUMENTS = 8_000
+FLUSH = 2_500_000  # keys that a task holds before it deals them out
 SLICE = 4 << 20
 END = np.uint64(0x5EED0F7E47E4D001)
 BLOCKS = "shard int, keys binary, counts binary"
@@ -295,7 +295,7 @@ def token_scores(model: Model, hashes: np.ndarray, first: np.ndarray) -> tuple[n
         place = word[own] - model.begins[s]
         count[own], before[own] = array(model.folder, "count", s, np.int64)[place], array(model.folder, "before", s, np.int64)[place]
     base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
-    p = model.free / (model.words + 1) + (discounted(before, model.single) / model.kinds if model.kinds else 0)
+    p = model.free / (model.words + 1) + discounted(before, model.single) / max(model.kinds, 1)
     seen = np.flatnonzero((word >= 0) & (context >= 0))
     different, back = np.unique(keys[seen], return_inverse=True)
     times = np.zeros(len(different), np.int64)
@@ -338,7 +338,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), made[0].cast(pa.int64()), made[1].cast(pa.int64()), pa.array(np.full(n, model.tokens, np.int64)), made[2], made[3]], ["doc", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     inside = docs.select(F.struct("*").alias("doc"), docs["text"].alias("text"))
-    return inside.mapInArrow(scored, f"doc {inside.schema['doc'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return inside.mapInArrow(scored, doc_and(inside, "n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caudal.llm.tables import held_out, settled
+from caudal.llm.tables import doc_and, held_out, settled
 from caudal.llm.words import row_slices, text_bytes, words_of
 
 SAMPLE = 12_000
 WORDS = 1 << 14
 FACTORS = 6
-EPOCHS, BATCH, RATE, SHRINK = 12, 256, 0.02, 1e-5
+EPOCHS, STEPS, BATCH, RATE, SHRINK = 12, 500, 256, 0.02, 1e-5  # small samples are gone through more often, for STEPS at least
 FOLDS = 3
 
 SHARES = np.array([0.002, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.45, 0.6, 0.8, 0.95])
@@ -107,9 +107,10 @@ def fitted(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed:
             weights[-1, 0] = 3.0 if labels[0] else -3.0
         return weights if len(rows) else np.zeros_like(weights)
     mean, spread, step = np.zeros_like(weights), np.zeros_like(weights), 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // -(-len(rows) // BATCH)))
+    for epoch in range(epochs):
         order = rng.permutation(len(rows))
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
             counts = np.array([len(rows[i][0]) for i in some])
@@ -180,7 +181,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], ["doc", "score"])
 
     inside = docs.select(F.struct("*").alias("doc"), docs["text"].alias("text"), with_stated(docs).alias("stated"))
-    return inside.mapInArrow(scored, f"doc {inside.schema['doc'].dataType.simpleString()}, score double")
+    return inside.mapInArrow(scored, doc_and(inside, "score double"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

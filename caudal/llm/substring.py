@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caudal.llm.tables import settled
+from caudal.llm.tables import doc_and, settled
 from caudal.llm.words import Rolling, mixed, row_slices, signed, text_bytes, words_of
 
 WINDOW = 50
@@ -162,5 +162,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """`docs` (doc_id, text, ...): a struct `doc` of all its columns, n_words, n_removed, and the kept words joined by spaces."""
     spans = repeated_spans(docs, window, anchor)
     inside = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_key"))
-    schema = f"doc {inside.schema['doc'].dataType.simpleString()}, n_words long, n_removed long, kept string"
+    schema = doc_and(inside, "n_words long, n_removed long, kept string")
     return inside.join(spans, ["doc_id", "text_key"], "left").select("doc", "doc.text", "spans").mapInArrow(cut_out, schema)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caudal.session import checkpoint_dir
 
@@ -37,3 +38,8 @@ def numbered(df: DataFrame, name: str = "row") -> DataFrame:
 def held_out(column: str, modulus: int) -> F.Column:
     """Whether crc32 of the id as text leaves the remainder 1; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == 1, F.lit(False))
+
+
+def doc_and(inside: DataFrame, fields: str) -> StructType:
+    """Schema of the column `doc` of `inside`, followed by `fields`."""
+    return StructType([inside.schema["doc"], *StructType.fromDDL(fields).fields])
