@@ -96,9 +96,12 @@ def name_suggestions(spark, sf):
     return rounded(xp.suggest(xp.names(consumption(spark, sf), "sku"), "B13/01"))
 
 
-@query("name_suggestions_typo")
+@query("name_suggestions_typo", with_("consumption", f"""
+select nombre, {r('500 * max(s)', 'puntos')} from (
+  select nombre, 1 - levenshtein('eurpoe', w) / greatest(6, length(w))::double as s from (select nombre, unnest(string_split(lower(nombre), ' ')) as w from (select distinct planta as nombre from consumption)))
+group by nombre having max(s) >= 0.6"""))
 def name_suggestions_typo(spark, sf):
-    return xp.suggest(xp.names(consumption(spark, sf), "planta"), "eurpoe")
+    return rounded(xp.suggest(xp.names(consumption(spark, sf), "planta"), "eurpoe"))
 
 
 @query("resolve_name", with_("consumption", "select distinct planta as nombre from consumption where lower(planta) = 'middle east'"))

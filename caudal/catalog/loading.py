@@ -298,12 +298,18 @@ def fingerprints(spark, sf):
 
 
 @query("run_record", with_("lastf closed", f"""
-select (select count(*) from closed) as rows, (select min(fecha) from closed)::varchar as first_date, (select max(fecha) from closed)::varchar as last_date, count(*) as series, {r('sum(ml_mean)', 'total_ml_mean', 1)} from lastf"""))
+select 'run-1' as run_id, '2024-01-01 00:00:00' as created_at, 'nowcast_media' as used, 15 as cutoff_day, (select count(*) from closed) as rows, (select min(fecha) from closed)::varchar as first_date,
+       (select max(fecha) from closed)::varchar as last_date, (select count(*) from (select distinct planta, sku from closed)) as data_series,
+       (select count(*) from closed where isodow(fecha) = 7) as sundays, count(*) as series, {r('sum(ml_mean)', 'total_ml_mean', 1)} from lastf"""))
 def run_record(spark, sf):
     """The manifest of a run, built as JSON and read back."""
-    one = ld.run_record(closed(spark, sf), last_forecast(spark, sf))
+    df = closed(spark, sf)
+    found = df.where(F.weekday("fecha") == 6).agg(F.count(F.lit(1)).alias("n")).select(F.lit("warning").alias("severity"), F.lit("sundays").alias("code"), "n")
+    one = ld.run_record(df, last_forecast(spark, sf), "run-1", "2024-01-01 00:00:00", "nowcast_media", 15, warnings=found)
     get = lambda path: F.get_json_object("manifest", path)
     return one.select(
+        get("$.run_id").alias("run_id"), get("$.created_at").alias("created_at"), get("$.strategy.used").alias("used"), get("$.strategy.cutoff_day").cast("int").alias("cutoff_day"),
+        get("$.data.series").cast("bigint").alias("data_series"), get("$.warnings.sundays").cast("bigint").alias("sundays"),
         get("$.data.rows").cast("bigint").alias("rows"), get("$.data.first_date").alias("first_date"), get("$.data.last_date").alias("last_date"),
         get("$.output.rows").cast("bigint").alias("series"), F.round(get("$.output.total_ml_mean").cast("double"), 1).alias("total_ml_mean"),
     )

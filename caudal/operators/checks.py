@@ -21,6 +21,9 @@ from caudal.session import cut_lineage
 
 REQUIRED = ["planta", "sku", "fecha", "consumo"]
 KEY = ["planta", "sku", "fecha"]
+DECLARED = {
+    "planta": ("text", T.StringType), "sku": ("text", T.StringType), "fecha": ("a day", (T.DateType, T.TimestampType, T.TimestampNTZType)), "consumo": ("a number", T.NumericType),
+}
 EXAMPLES = 5
 # The sketch is off by at most one part in SKETCH_ACCURACY of the ranks, a tenth of the half-width of the bracket.
 SKETCH_ACCURACY = 10000
@@ -44,22 +47,17 @@ class InputError(ValueError):
 
 
 def structure_errors(df: DataFrame) -> list[tuple[str, str]]:
-    """(code, message) for missing columns or wrong types; reads only the schema."""
-    absent = [c for c in REQUIRED if c not in df.columns]
-    if absent:
-        return [("columns", f"missing columns {absent}; expected {REQUIRED}")]
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    wrong = []
-    if not isinstance(kinds["fecha"], (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        wrong.append("fecha is not a date")
-    if not isinstance(kinds["consumo"], T.NumericType):
-        wrong.append("consumo is not a number")
-    wrong += [f"{c} is not text" for c in SERIES if not isinstance(kinds[c], T.StringType)]
-    return [("types", "; ".join(wrong))] if wrong else []
+    """How the schema departs from the declared one, as (code, message); no data is read."""
+    given = dict(zip(df.columns, (field.dataType for field in df.schema.fields), strict=True))
+    departures = {
+        "columns": [f"no {name} ({what})" for name, (what, _) in DECLARED.items() if name not in given],
+        "types": [f"{name}: {given[name].simpleString()}, not {what}" for name, (what, kinds) in DECLARED.items() if name in given and not isinstance(given[name], kinds)],
+    }
+    return [(code, ", ".join(found)) for code, found in departures.items() if found]
 
 
 def is_missing() -> Column:
-    blank = [F.col(c).isNull() | ~F.col(c).rlike(r"\S") for c in SERIES]
+    blank = [F.col(c).isNull() | ~F.col(c).rlike(r"(?U)\S") for c in SERIES]
     return blank[0] | blank[1] | F.col("fecha").isNull() | F.col("consumo").isNull() | F.isnan(F.col("consumo").cast("double"))
 
 
@@ -79,7 +77,7 @@ def is_negative(_: Limits) -> Column:
 
 
 def has_untidy_key(_: Limits) -> Column:
-    outer = r"^\s|\s$"
+    outer = r"(?U)^\s|\s$"
     return (F.col("planta") != F.upper("planta")) | F.col("planta").rlike(outer) | F.col("sku").rlike(outer)
 
 
@@ -108,7 +106,7 @@ def duplicate(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def near_duplicate_keys(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Distinct (planta, sku) pairs that are equal after folding case and spaces."""
     pairs = df.select(*SERIES).distinct()
-    folded = [F.upper(strip(F.col("planta"))), F.regexp_replace(F.lower(F.col("sku")), r"\s+", "")]
+    folded = [F.upper(strip(F.col("planta"))), F.regexp_replace(F.lower(F.col("sku")), r"(?U)\s+", "")]
     same = Window.partitionBy(*folded)
     return pairs.withColumn("_n", F.count(F.lit(1)).over(same)).where(F.col("_n") > 1).select(*SERIES)
 
@@ -289,17 +287,16 @@ def examples(found: DataFrame, n: int = EXAMPLES) -> DataFrame:
 
 def validate(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Raise `InputError` when there are errors; otherwise return the warnings summary (severity, code, n)."""
-    fatal = structure_errors(df)
-    if fatal:
-        raise InputError("; ".join(f"{code}: {message}" for code, message in fatal))
+    if departures := structure_errors(df):
+        raise InputError(f"not a consumption table: {departures}")
     found = violations(df, limits)
     counts = summary(found)
     errors = counts.where(F.col("severity") == "error").orderBy("code").collect()  # as many rows as rules
     if errors:
-        lines = [f"ERROR {row['code']}: {row['n']} rows" for row in errors]
-        sample = examples(found.where(F.col("severity") == "error")).orderBy("code", "orden").drop("severity")
-        lines += [f"    {row['code']}: {row['planta']} {row['sku']} {row['fecha']} {row['consumo']} {row['detail'] or ''}" for row in sample.collect()]
-        raise InputError("Input checks failed:\n" + "\n".join(lines))
+        shown: dict[str, list[str]] = {row["code"]: [] for row in errors}
+        for row in examples(found.where(F.col("severity") == "error")).orderBy("code", "orden").collect():  # EXAMPLES a rule
+            shown[row["code"]].append(" / ".join(str(row[c]) for c in (*REQUIRED, "detail") if row[c] is not None))
+        raise InputError("\n".join([f"{row['n']} rows break the rule {row['code']!r}, such as: " + "; ".join(shown[row["code"]]) for row in errors]))
     return counts
 
 

@@ -22,7 +22,7 @@ WARN_DAYS = 30
 
 
 class NotFound(LookupError):
-    """No planta or SKU has that name."""
+    """A text stands for none of the names on offer."""
 
 
 # ---- names ---------------------------------------------------------------------------------------------------------------
@@ -34,8 +34,10 @@ def names(df: DataFrame, column: str, planta: str | None = None) -> DataFrame:
 
 
 def suggest(options: DataFrame, text: str, limit: int = 8) -> DataFrame:
-    """The names closest to a typed text, best first: (nombre, puntos). Typos count only when nothing contains the text;
-    the similarity runs on distinct names."""
+    """The names closest to a typed text, best first: (nombre, puntos). Typos count only when nothing contains the text; an
+    empty text gives the first names, without points."""
+    if not text.strip():
+        return options.orderBy("nombre").limit(limit).select("nombre", F.lit(0.0).alias("puntos"))
     named = options.withColumn("_n", normalized(F.col("nombre"))).withColumn("_q", normalized(F.lit(text)))
     scored = named.withColumn("puntos", contained_score(F.col("_q"), F.col("_n")))
     best = scored.where(F.col("puntos").isNotNull())
@@ -102,12 +104,12 @@ def monthly_summary(panel: Panel, planta: str | None = None, sku: str | None = N
 
 def daily(df: DataFrame, panel: Panel, planta: str | None = None, sku: str | None = None, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
     """(fecha, consumo) of every day of a range, the last 90 days by default, 0 on days without rows."""
-    end = until or panel.calendar_end
-    start = since or end - dt.timedelta(days=DEFAULT_DAYS - 1)
-    if start > end:
-        raise ValueError("the first day is after the last")
-    year, month = divmod(panel.first_ym, 12)
-    low, high = max(start, dt.date(year, month + 1, 1)), min(end, panel.calendar_end)
+    last = panel.calendar_end if until is None else until
+    wanted = last - dt.timedelta(days=DEFAULT_DAYS - 1) if since is None else since
+    if wanted > last:
+        raise ValueError(f"no day lies between {wanted} and {last}")
+    opening = dt.date(panel.first_ym // 12, panel.first_ym % 12 + 1, 1)
+    low, high = max(wanted, opening), min(last, panel.calendar_end)
     rows = select(df, planta, sku).where((F.col("fecha") >= F.lit(low)) & (F.col("fecha") <= F.lit(high)))
     sums = rows.groupBy("fecha").agg(F.sum("consumo").alias("consumo"))
     days = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(low), F.lit(high))).alias("fecha"))

@@ -105,13 +105,42 @@ def alignment_problems(res: DataFrame, panel: Panel) -> DataFrame:
     return joined.where(F.col("actual").isNull() | (F.abs(F.col("actual") - F.col("y")) > 1e-6 + 1e-5 * F.abs("y")))
 
 
-def run_record(df: DataFrame, forecast: DataFrame) -> DataFrame:
-    """The aggregates of a run manifest as one JSON document per run: data span and forecast totals by planta."""
-    data = df.agg(F.count(F.lit(1)).alias("rows"), F.min("fecha").alias("first_date"), F.max("fecha").alias("last_date")).select(F.struct("*").alias("data"))
+def panel_mark(panel: Panel) -> str:
+    """The fingerprint of a panel as one text; one row read by the driver."""
+    mark = panel_fingerprint(panel).first()
+    return f"{mark['filas']}:{mark['total']}:{mark['huella']}"
+
+
+def run_record(
+    df: DataFrame, forecast: DataFrame, run_id: str | None = None, created_at: str | None = None, strategy: str | None = None, cutoff_day: int | None = None,
+    mark: str | None = None, warnings: DataFrame | None = None,
+) -> DataFrame:
+    """The manifest of a run as one JSON document: which run and when, strategy and cutoff, span, series and fingerprint of
+    the data, warnings by code (severity, code, n), forecast totals by planta. What is not given is left out."""
+    series = df.select("planta", "sku").distinct().agg(F.count(F.lit(1)).alias("series"))
+    span = df.agg(F.count(F.lit(1)).alias("rows"), F.min("fecha").alias("first_date"), F.max("fecha").alias("last_date"))
+    data = span.withColumn("_k", F.lit(1)).join(series.withColumn("_k", F.lit(1)), "_k").drop("_k").withColumn("panel", F.lit(mark).cast("string")).select(F.struct("*").alias("data"))
     by_planta = forecast.groupBy("planta").agg(F.bround(F.sum("ml_mean"), 3).alias("total"), F.count(F.lit(1)).alias("series"))
     output = by_planta.agg(
         F.sum("series").alias("rows"), F.bround(F.sum("total"), 3).alias("total_ml_mean"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("planta", "total")))).alias("by_planta"),
     ).select(F.struct("*").alias("output"))
     one = data.withColumn("_k", F.lit(1)).join(output.withColumn("_k", F.lit(1)), "_k")  # one row each
-    return one.select(F.to_json(F.struct("data", "output")).alias("manifest"))
+    parts = ["run_id", "created_at", "strategy", "data", "output"]
+    if warnings is not None:  # a row for each rule at most
+        by_code = warnings.groupBy("code").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("warnings"))
+        one, parts = one.join(by_code.withColumn("_k", F.lit(1)), "_k"), [*parts, "warnings"]
+    when = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss") if created_at is None else F.lit(created_at)
+    used = F.struct(F.lit(strategy).cast("string").alias("used"), F.lit(cutoff_day).cast("int").alias("cutoff_day"))
+    named = one.withColumns({"run_id": F.lit(run_id).cast("string"), "created_at": when, "strategy": used})
+    return named.select(F.to_json(F.struct(*parts)).alias("manifest"))
+
+
+def run_row(manifest: DataFrame) -> DataFrame:
+    """The row of the table of runs that a manifest stands for."""
+    get = lambda path: F.get_json_object("manifest", path)
+    return manifest.select(
+        get("$.run_id").alias("run_id"), get("$.created_at").alias("creado_en"), get("$.strategy.used").alias("estrategia"), get("$.strategy.cutoff_day").cast("int").alias("corte"),
+        get("$.data.last_date").alias("ultimo_dia"), get("$.data.rows").cast("bigint").alias("filas"), get("$.data.series").cast("bigint").alias("series"),
+        get("$.output.rows").cast("bigint").alias("pronosticos"), get("$.output.total_ml_mean").cast("double").alias("total_TO"),
+    )

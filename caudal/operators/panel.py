@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caudal.functions.dates import is_sunday, month_end, month_label, month_number, month_start, working_days
-from caudal.session import broadcast_within
+from caudal.session import broadcast_within, cut_lineage
 
 SERIES = ["planta", "sku"]
 
@@ -205,21 +205,15 @@ def month_to_date(df: DataFrame, first_ym: int, day: int) -> DataFrame:
     )
 
 
-def sorted_positions(panel: Panel, prefix: int = 4) -> DataFrame:
-    """Position of every series in (planta, sku) order.
-
-    Numbered inside (planta, first letters of the SKU), shifted by the series of the earlier blocks: the blocks sort
-    like the names, so no single task ever sorts all the series.
-    """
-    names = panel.monthly.select(*SERIES).distinct().withColumn("block", F.substring("sku", 1, prefix))
-    sizes = names.groupBy("planta", "block").agg(F.count(F.lit(1)).alias("size"))
-    plantas = sizes.groupBy("planta").agg(F.sum("size").alias("size"))
-    before = Window.orderBy("planta").rowsBetween(Window.unboundedPreceding, -1)
-    plantas = plantas.select("planta", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("planta_shift"))
-    inside = Window.partitionBy("planta").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.join(plantas, "planta").select("planta", "block", (F.col("planta_shift") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("shift"))
-    rank = F.row_number().over(Window.partitionBy("planta", "block").orderBy("sku"))
-    return names.join(shifts, ["planta", "block"]).select(*SERIES, (F.col("shift") + rank - 1).alias("series"))
+def sorted_positions(panel: Panel) -> DataFrame:
+    """Position of every series in (planta, sku) order. Ranges of the sorted names are numbered inside and shifted by the
+    sizes of the ranges before; Spark chooses the ranges by a sample, so they are even whatever the names look like."""
+    names = cut_lineage(panel.monthly.select(*SERIES).distinct().repartitionByRange(*SERIES).withColumn("block", F.spark_partition_id()))
+    sizes = names.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges
+    shifts = sizes.select("block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
+    rank = F.row_number().over(Window.partitionBy("block").orderBy(*SERIES))
+    return names.join(F.broadcast(shifts), "block").select(*SERIES, (F.col("shift") + rank - 1).alias("series"))
 
 
 def sunday_rows(df: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def with_real(panel: Panel, forecast: DataFrame) -> DataFrame:
 def without_forecast(panel: Panel, forecast: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, real_TO): series that consumed in the month and have no forecast."""
     runs = forecast.select(*by, (label_number(F.col("mes")) - F.lit(panel.first_ym)).cast("int").alias("mi")).distinct()
-    alive = panel.known().where(F.col("y") > 0).select(*SERIES, "mi", "y").join(F.broadcast(runs), "mi")  # one row per run and month
+    alive = panel.known().where(F.col("y") > 0).select(*SERIES, "mi", "y").join(runs, "mi")
     gone = alive.join(forecast.select(*by, *SERIES), [*by, *SERIES], "left_anti")
     sums = gone.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("real_TO"))
     return runs.drop("mi").join(sums, by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("real_TO", F.lit(0.0)).alias("real_TO"))
@@ -77,8 +77,9 @@ def _scored(sums: DataFrame, by: list[str]) -> DataFrame:
 
 
 def month_scores(panel: Panel, forecast: DataFrame, models: list[str] = MODELS, by: list[str] | None = None) -> DataFrame:
-    """Scores by level: `sku` (forecast series pooled), `planta` with '' (all plantas pooled), `planta` with its name, `total`
-    and one `sin_pronostico` row. Planta and total reals hold every series, forecast or not."""
+    """How good each model was, at each level of detail. Rows of level `sku` pool the forecast series; `planta` rows are one
+    per planta and one, with an empty name, for all of them; a `sin_pronostico` row says what nobody forecast. What the
+    plantas and the total really consumed includes the series without a forecast."""
     by = by or ["mes"]
     models = [m for m in models if m in forecast.columns]
     rows = with_real(panel, forecast).select(*by, "planta", "mi", "real", *models)
@@ -281,11 +282,20 @@ def forecast_tables(cache: DataFrame, panel: Panel, columns: dict[str, str]) ->
     return cache.select(*SERIES, panel.label(F.col("t")).alias("mes"), *[F.col(source).alias(model) for model, source in columns.items()])
 
 
+def refused(df: DataFrame, panel: Panel, forecast: DataFrame, by: list[str]) -> DataFrame:
+    """(by, mes, motivo): forecasts that can't be measured, because their month is still open or because they were made for
+    other data. A forecast may have both rows."""
+    months = month_closed(df, forecast.select("mes")).where(~F.col("cerrado")).select("mes")
+    runs = list(dict.fromkeys([*by, "mes"]))
+    made = forecast.select(*runs).distinct()
+    still_open = made.join(months, "mes", "left_semi").withColumn("motivo", F.lit("mes abierto"))
+    foreign = forecast_coverage(panel, forecast, by).where(~F.coalesce("pertenece", F.lit(False))).select(*by)
+    return still_open.select(*runs, "motivo").unionByName(made.join(foreign, by, "left_semi").withColumn("motivo", F.lit("otros datos")).select(*runs, "motivo"))
+
+
 def track(df: DataFrame, panel: Panel, forecast: DataFrame, by: list[str], created_at: Column, cutoff: Column | None = None) -> DataFrame:
-    """Track saved forecasts end to end: only closed months and forecasts that belong to the data, scored, with alerts."""
-    closed = month_closed(df, forecast.select("mes")).where("cerrado").select("mes")
-    fits = forecast_coverage(panel, forecast, by).where("pertenece").select(*by)
-    rows = forecast.join(F.broadcast(closed), "mes", "left_semi").join(F.broadcast(fits), by, "left_semi")  # months and runs
+    """Scores and alerts of the saved forecasts that can be measured; `refused` lists the others and why."""
+    rows = forecast.join(refused(df, panel, forecast, by).select(*by, "mes").distinct(), list(dict.fromkeys([*by, "mes"])), "left_anti")
     scores = month_scores(panel, rows, by=by)
     return tracking_rows(scores, find_alerts(scores, by), by, created_at, cutoff)
 

@@ -2,7 +2,8 @@
 
 `lgbm` and `xgb` are the names the forecast tables use for the two boosted members; here both are gradient-boosted trees
 of Spark ML with a shallow and a deep shape, and `rf` is its random forest. Spark has no Tweedie boosting, so the numbers
-differ from other libraries; the protocol (validation on the last two months, refit, clip at 0) is the same.
+differ from other libraries; the protocol (validation on the last two months, refit, clip at 0) is the same. The number of boosted trees is the one after
+which `PATIENCE` further trees bring no smaller absolute error on the validation months.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ KINDS = ["lgbm", "xgb", "rf"]
 SEED = 0
 MISSING = -1.0
 VALIDATION_MONTHS = 2
+PATIENCE = 50
+FIRST_TREES = 100  # tried before twice as many are
 BASE = {
     "lgbm": {"maxDepth": 4, "stepSize": 0.05, "minInstancesPerNode": 30, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
     "xgb": {"maxDepth": 6, "stepSize": 0.05, "minInstancesPerNode": 50, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
@@ -47,9 +50,32 @@ def with_vector(frame: DataFrame, features: list[str] | None = None) -> DataFram
     return VectorAssembler(inputCols=names, outputCol="features").transform(filled)
 
 
-def _boosted(params: dict, trees: int, seed: int, indicator: str | None = None) -> GBTRegressor:
-    model = GBTRegressor(featuresCol="features", labelCol="y", maxIter=trees, seed=seed, checkpointInterval=10, **params)
-    return model.setValidationIndicatorCol(indicator) if indicator else model
+def _boosted(params: dict, trees: int, seed: int) -> GBTRegressor:
+    return GBTRegressor(featuresCol="features", labelCol="y", maxIter=trees, seed=seed, checkpointInterval=10, **params)
+
+
+def stopping_point(errors: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """(trees, settled): the first smallest error that the next `patience` trees do not beat, and whether so many came."""
+    best = 0
+    for at, error in enumerate(errors):
+        if error < errors[best]:
+            best = at
+        elif at - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def tree_count(params: dict, train: DataFrame, validation: DataFrame, budget: Budget, seed: int) -> int:
+    """Trees after which the validation error stops falling. The same seed grows the same first trees, so a probe that is
+    too short is repeated with twice as many."""
+    if validation.isEmpty() or train.isEmpty():
+        return budget.min_trees
+    trees = min(FIRST_TREES, budget.max_trees)
+    while True:
+        found, settled = stopping_point(_boosted(params, trees, seed).fit(train).evaluateEachIteration(validation, "absolute"))
+        if settled or trees >= budget.max_trees:
+            return found
+        trees = min(2 * trees, budget.max_trees)
 
 
 def fit(kind: str, params: dict, train: DataFrame, budget: Budget = Budget(), seed: int = SEED):
@@ -61,8 +87,8 @@ def fit(kind: str, params: dict, train: DataFrame, budget: Budget = Budget(), se
     if kind == "tweedie":
         return GeneralizedLinearRegression(featuresCol="features", labelCol="y", family="tweedie", **{"variancePower": 1.2, "linkPower": 0.0, **params}).fit(rows)
     last = rows.agg(F.max("t").alias("t")).first()["t"]
-    probe = _boosted(params, budget.max_trees, seed, "_validation").fit(rows.withColumn("_validation", F.col("t") > last - VALIDATION_MONTHS))
-    return _boosted(params, max(probe.getNumTrees, budget.min_trees), seed).fit(rows)
+    late = F.col("t") > last - VALIDATION_MONTHS
+    return _boosted(params, max(tree_count(params, rows.where(~late), rows.where(late), budget, seed), budget.min_trees), seed).fit(rows)
 
 
 def predicted(model, rows: DataFrame, name: str) -> DataFrame:

@@ -35,10 +35,13 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8, memory: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only when the session names none (tests)."""
+    """The shared folder named by the cluster. A session on one machine may name none and gets a temporary one; anywhere
+    else executors would write to their own disks and read back a part, so a missing name is an error."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="caudal-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caudal.functions.skus import build_sku, header_month, month_of_column
+from caudal.functions.text import strip
 
 # The columns of the two sources and of their long layouts.
 ASSIGNMENT_COLUMNS = ["Customer", "Grade", "Sub-grade", "Grammage", "Width", "Product", "Strategy", "Plant Forecast"]
@@ -28,8 +29,8 @@ def assignment(raw: DataFrame) -> DataFrame:
         raise SourceError(f"expected the columns {ASSIGNMENT_COLUMNS} and an allocation column, found {raw.columns}")
     rows = raw.where(F.col("Customer").isNotNull())
     return rows.select(
-        F.trim(F.col("Customer").cast("string")).alias("planta"), header_month(F.lit(raw.columns[8])).alias("mes"), _sku().alias("sku_planner"),
-        F.col("Product").cast("int").alias("product_sap"), F.trim(F.coalesce(F.col("Strategy").cast("string"), F.lit(""))).alias("strategy"),
+        strip(F.col("Customer").cast("string")).alias("planta"), header_month(F.lit(raw.columns[8])).alias("mes"), _sku().alias("sku_planner"),
+        F.col("Product").cast("int").alias("product_sap"), strip(F.coalesce(F.col("Strategy").cast("string"), F.lit(""))).alias("strategy"),
         F.col("Plant Forecast").cast("string").try_cast("double").alias("forecast_to"),
     )
 
@@ -70,7 +71,7 @@ def _quoted(name: str) -> str:
 def internal_totals(raw: DataFrame) -> DataFrame:
     """(columna, suma, total, cuadra): each month column added up against its Result row (absolute 0.5, relative 1e-5)."""
     months = internal_months(raw)
-    is_total = F.lower(F.trim(F.col("Customer").cast("string"))) == "result"
+    is_total = F.lower(strip(F.col("Customer").cast("string"))) == "result"
     rows = raw.select(is_total.alias("es_total"), F.col("Grade").isNotNull().alias("es_fila"), *[F.col(_quoted(m)).cast("double").alias(m) for m in months])
     long = rows.unpivot(["es_total", "es_fila"], [F.col(_quoted(m)) for m in months], "columna", "valor")
     sums = long.groupBy("columna").agg(
@@ -87,7 +88,7 @@ def internal_long(raw: DataFrame) -> DataFrame:
     if unreadable:
         raise SourceError(f"cannot read the month from the columns {unreadable}")
     rows = raw.where(F.col("Grade").isNotNull()).select(
-        F.trim(F.col("Customer").cast("string")).alias("planta"), _sku().alias("sku_planner"), F.col("Product").cast("int").alias("product_sap"),
+        strip(F.col("Customer").cast("string")).alias("planta"), _sku().alias("sku_planner"), F.col("Product").cast("int").alias("product_sap"),
         *[F.col(_quoted(name)).cast("string").try_cast("double").alias(label) for name, label in labels.items()],
     )
     long = rows.unpivot(["planta", "sku_planner", "product_sap"], [F.col(_quoted(label)) for label in labels.values()], "mes", "forecast_to")

@@ -59,8 +59,9 @@ class Versions:
         return self.spark.read.parquet(f"{self.path}/v={numbers[-1]}") if numbers else None
 
     def publish(self, df: DataFrame) -> int:
+        """The next version. A number is written once: of two loads at the same time the later one fails and changes nothing."""
         number = (self.numbers() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={number}")
+        df.write.mode("errorifexists").parquet(f"{self.path}/v={number}")
         for old in self.numbers()[: -KEEP_VERSIONS - 1]:
             self._fs.delete(self._path(f"{self.path}/v={old}"), True)
         return number
@@ -148,8 +149,9 @@ def predictions_from_cache(cache: DataFrame, label, columns: dict[str, tuple[str
 
 
 def predictions_from_forecast(forecast: DataFrame, strategy: str = "h1") -> DataFrame:
-    """Long predictions from a forecast table (planta, sku, mes, one column per model); the origin is the month before."""
-    models = [c for c in forecast.columns if c not in ("planta", "sku", "mes")]
+    """A forecast table (planta, sku, mes and a column for each model) in long form, made one month before its target."""
+    identity = {"planta", "sku", "mes"}
+    models = sorted(set(forecast.columns) - identity, key=forecast.columns.index)
     wide = forecast.select("planta", "sku", F.col("mes").alias("mes_objetivo"), shift_label(F.col("mes"), -1).alias("mes_origen"), *[F.col(m).cast("double").alias(m) for m in models])
     long = wide.unpivot(["planta", "sku", "mes_objetivo", "mes_origen"], models, "modelo", "valor")
     return long.select("planta", "sku", "mes_objetivo", "mes_origen", F.lit(strategy).alias("estrategia"), "modelo", "valor")
@@ -171,11 +173,11 @@ def prediction_problems(preds: DataFrame) -> DataFrame:
 
 
 def replace_predictions(preds: DataFrame, path: str, plantas: DataFrame, skus: DataFrame, created_at: Column | None = None, run_id: str | None = None) -> None:
-    """Overwrite every (estrategia, mes_origen) block present in `preds`; other blocks stay. Refuses bad rows before it
-    writes anything."""
-    absent = set(PREDICTION_KEY + ["valor"]) - set(preds.columns)
-    if absent:
-        raise StoreError(f"the predictions lack the columns {sorted(absent)}")
+    """The blocks that `preds` holds take the place of the stored ones; all other blocks are left alone. Rows are settled and
+    looked at first, so a table with bad rows changes nothing."""
+    if lacking := [c for c in (*PREDICTION_KEY, "valor") if c not in preds.columns]:
+        raise StoreError(f"no column {', '.join(lacking)} in the predictions")
+    preds = cut_lineage(preds.select(*PREDICTION_KEY, "valor"))
     problems = prediction_problems(preds).collect()  # at most two rows
     if problems:
         raise StoreError("; ".join(f"{row['problema']}: {row['n']}" for row in problems))
@@ -184,7 +186,7 @@ def replace_predictions(preds: DataFrame, path: str, plantas: DataFrame, skus: D
         raise StoreError(f"unknown plantas or skus, load the consumption first: {[row['nombre'] for row in unknown]}")
     stamp = created_at if created_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     rows = preds.select(*PREDICTION_KEY, "valor", stamp.alias("creado_en"), F.lit(run_id).cast("string").alias("run_id"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*BLOCK).parquet(path)
+    rows.hint("rebalance", *BLOCK).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*BLOCK).parquet(path)
 
 
 def read_predictions(spark: SparkSession, path: str, strategy: str | None = None, model: str | None = None) -> DataFrame:

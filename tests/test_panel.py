@@ -86,7 +86,7 @@ def test_direct_forecast_of_the_total_is_that_of_one_big_planta(fact, panel):
 def test_positions_follow_the_names(make_fact):
     names = [("B", "x"), ("A", "K1/01"), ("A", "K10/01"), ("A", "K1"), ("A", "K2"), ("C", "")]
     df = make_fact([(p, s, dt.date(2024, 1, 3), 1.0) for p, s in names])
-    got = sorted_positions(build_panel(df), prefix=2).orderBy("series").collect()
+    got = sorted_positions(build_panel(df)).orderBy("series").collect()
     assert [(r["planta"], r["sku"]) for r in got] == sorted(names)
     assert [r["series"] for r in got] == list(range(len(names)))
 
