@@ -164,7 +164,7 @@ cte("codes", ("monthly",), "select planta, (row_number() over (order by planta)
 
 
 def frame_ctes(h: int) -> dict[str, tuple[tuple[str, ...], str]]:
-    """The forecasting frame by lookups and range joins (the Spark side uses windows only)."""
+    """The forecasting frame by windows over the dense panel, one pass for each table."""
 
     def window(value: str, lo: int, hi: int) -> str:
         return f"{value} over (partition by planta, sku order by mi rows between {-lo} preceding and {hi} following)" if hi > 0 else (
@@ -177,32 +177,29 @@ def frame_ctes(h: int) -> dict[str, tuple[tuple[str, ...], str]]:
     )
 
     def seasonal(source: str, keys: str, name: str) -> str:
-        on = "a.planta = x.planta and " if keys else ""
+        by = f"{'partition by planta ' if keys else ''}order by mi"
+        past = lambda far, near: f"nullif(avg(y) over ({by} rows between {far} preceding and {near} preceding), 0)"
         return f"""
-select {'x.planta, ' if keys else ''}x.mi as o,
-       case when x.mi + {h} >= 12 and x.mi >= 17 then (select a.y from {source} a where {on}a.mi = x.mi + {h - 12}) / nullif((select avg(a.y) from {source} a where {on}a.mi between x.mi - 17 and x.mi - 12), 0) end as ratio_{name},
-       case when x.mi + {h} >= 15 then (select a.y from {source} a where {on}a.mi = x.mi + {h - 12}) / nullif((select avg(a.y) from {source} a where {on}a.mi between x.mi + {h - 15} and x.mi + {h - 9}), 0) end as lyrel_{name}
-from {source} x"""
+select {'planta, ' if keys else ''}mi as o,
+       case when mi + {h} >= 12 and mi >= 17 then lag(y, {12 - h}) over ({by}) / {past(17, 12)} end as ratio_{name},
+       case when mi + {h} >= 15 then lag(y, {12 - h}) over ({by}) / {past(15 - h, 9 - h)} end as lyrel_{name}
+from {source}"""
 
     return {
         "rp": (("pm",), seasonal("pm", "planta", "planta")),
         "rg": (("gm",), seasonal("gm", "", "global")),
         "wide": (("panel",), f"""
 select planta, sku, mi as o, mi + {h} as t, y as lag1, {window('avg(y)', -5, 0).replace('avg(y)', 'stddev_pop(y)')} as std6,
+       lag(y, 1) over own as lag2, lag(y, 2) over own as lag3, lag(y, {12 - h}) over own as ly, lag(b, {12 - h}) over own as ly_b, lead(y, {h}) over own as y,
        {means}, {rates}, {window('avg((y = 0)::int)', -11, 0)} as zero_share12, mi - f + 1 as months_active
-from panel"""),
-        "frame": (("wide", "rp", "rg", "cal", "codes", "panel", "span"), f"""
-select w.planta, w.sku, w.o, w.t, w.lag1, l2.y as lag2, l3.y as lag3, mean3, mean6, mean12, std6, zero_share12, months_active, ly.y as ly, planta_code,
+from panel window own as (partition by planta, sku order by mi)"""),
+        "frame": (("wide", "rp", "rg", "cal", "codes", "span"), f"""
+select w.planta, w.sku, w.o, w.t, w.lag1, lag2, lag3, mean3, mean6, mean12, std6, zero_share12, months_active, ly, planta_code,
        ct.moy as month_t, ratio_planta, ratio_global, lyrel_planta, lyrel_global, ct.b as n_days_t, rate3, rate6, rate12, occ3, occ6, occ12,
-       case when occ6 > 0 then rate6 / occ6 end as size6, ly.y / nullif(cl.b, 0) as ly_rate, yt.y as y,
-       w.lag1 as p_naive, mean3 as p_mean3, mean6 as p_mean6, mean12 as p_mean12, rate6 * ct.b as p_perday6, coalesce(ly.y, mean6) as p_seasonal_naive,
+       case when occ6 > 0 then rate6 / occ6 end as size6, ly / nullif(ly_b, 0) as ly_rate, w.y as y,
+       w.lag1 as p_naive, mean3 as p_mean3, mean6 as p_mean6, mean12 as p_mean12, rate6 * ct.b as p_perday6, coalesce(ly, mean6) as p_seasonal_naive,
        coalesce(mean6 * ratio_global, mean6) as p_mean6_x_global, coalesce(mean6 * ratio_planta, mean6) as p_mean6_x_planta
 from wide w cross join span join codes using (planta) join cal ct on ct.mi = w.t
-     left join panel l2 on l2.planta = w.planta and l2.sku = w.sku and l2.mi = w.o - 1
-     left join panel l3 on l3.planta = w.planta and l3.sku = w.sku and l3.mi = w.o - 2
-     left join panel ly on ly.planta = w.planta and ly.sku = w.sku and ly.mi = w.t - 12
-     left join panel yt on yt.planta = w.planta and yt.sku = w.sku and yt.mi = w.t
-     left join cal cl on cl.mi = w.t - 12
      left join rp on rp.planta = w.planta and rp.o = w.o left join rg on rg.o = w.o
 where w.o >= 3 and w.t <= span.last_mi"""),
     }

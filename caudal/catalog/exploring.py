@@ -65,9 +65,15 @@ def data_overview(spark, sf):
     return xp.overview(consumption(spark, sf))
 
 
-@query("monthly_pivot", with_("panel cal", "pivot (select planta, sku, cal.mes, round_even(y, 3) as y from panel join cal using (mi)) on mes using first(y) group by planta, sku"))
+# Every month that the given tables can hold, so that both sides have the same columns at every size.
+PIVOT_MONTHS = [f"{year}-{month:02d}" for year in range(1992, 2004) for month in range(1, 13)]
+
+
+@query("monthly_pivot", with_("panel cal", f"""
+select planta, sku, {', '.join(f"round_even(sum(y) filter (where mes = '{m}'), 3) as \"{m}\"" for m in PIVOT_MONTHS)}
+from (select planta, sku, cal.mes, y from panel join cal using (mi)) group by planta, sku"""))
 def monthly_pivot(spark, sf):
-    return xp.monthly_pivot(closed_panel(spark, sf))
+    return xp.monthly_pivot(closed_panel(spark, sf), labels=PIVOT_MONTHS)
 
 
 @query("month_actuals", with_("firsts monthly span", f"select f.planta, f.sku, {r('coalesce(m.y, 0)', 'real')} from firsts f cross join span left join monthly m on m.planta = f.planta and m.sku = f.sku and m.mi = last_mi"))

@@ -332,7 +332,7 @@ def runs_upsert(spark, sf):
     return st.upsert(runs, again, ["run_id"])
 
 
-cte("h2", ("panel", "span"), "select p.planta, p.sku, p.mi + 2 as t, p.y as p_naive, q.y as y from panel p cross join span join panel q on q.planta = p.planta and q.sku = p.sku and q.mi = p.mi + 2 where p.mi >= 3 and p.mi + 2 <= last_mi")
+cte("h2", ("panel", "span"), "select planta, sku, mi + 2 as t, p_naive, y from (select planta, sku, mi, y as p_naive, lead(y, 2) over (partition by planta, sku order by mi) as y from panel) cross join span where mi >= 3 and mi + 2 <= last_mi")
 
 
 @query("two_months_with_reference", with_("h2 ensembled", f"""

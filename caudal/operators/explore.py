@@ -139,9 +139,9 @@ def overview(df: DataFrame) -> DataFrame:
     return table.select("*", partial.alias("mes_parcial"), F.when(left > 0, month_label(number - 1)).otherwise(month_label(number)).alias("ultimo_mes_completo"))
 
 
-def monthly_pivot(panel: Panel, planta: str | None = None) -> DataFrame:
-    """One row per series and one column per month, null before the first month."""
-    labels = [panel.label_of(mi) for mi in range(panel.last_mi + 1)]
+def monthly_pivot(panel: Panel, planta: str | None = None, labels: list[str] | None = None) -> DataFrame:
+    """One row per series and one column per month (or per given label), null outside the months of the series."""
+    labels = labels or [panel.label_of(mi) for mi in range(panel.last_mi + 1)]
     rows = select(panel.dense(), planta).withColumn("mes", panel.label(F.col("mi")))
     return rows.groupBy(*SERIES).pivot("mes", labels).agg(F.bround(F.sum("y"), 3))
 
