@@ -12,7 +12,7 @@ from caudal.functions.skus import MONTH_NAMES, alt_key, dataset_key, planner_key
 from caudal.operators import compare as cp
 from caudal.sources import planner as src
 
-MIN_HISTORY = 78
+MIN_HISTORY = 3
 NO_FORECAST_BRAND = 22
 SOURCES = ["planner", "ml_mean", "internal"]
 MODELS = ["ml_mean", "naive", "mean6"]
@@ -281,30 +281,33 @@ def planner_keys(spark, sf):
 # ---- source tables -------------------------------------------------------------------------------------------------------
 
 
-def raw_assignment(spark, sf) -> DataFrame:
-    """The planner table of the last month with the columns of its source."""
-    panel = closed_panel(spark, sf)
-    mes = panel.label_of(panel.last_mi)
+def raw_assignment(spark, sf, mes: str) -> DataFrame:
+    """The planner table of one month with the columns of its source."""
     name = next(k for k, v in MONTH_NAMES.items() if v == int(mes[5:7]))
-    rows = planner_rows(spark, sf).where((F.col("mes") == mes) & F.col("sku_planner").contains("/01/1/"))
+    rows = planner_rows(spark, sf).where(F.col("mes") == mes)
     return rows.select(
-        F.concat(F.col("planta"), F.lit(" ")).alias("Customer"), F.concat(F.lit("B"), F.col("b").cast("string")).alias("Grade"), F.lit(1).alias("Sub-grade"),
-        F.col("gsm").alias("Grammage"), F.lit(2100).alias("Width"), F.col("product_sap").alias("Product"), F.col("strategy").alias("Strategy"),
+        F.concat(F.col("planta"), F.lit(" ")).alias("Customer"), F.concat(F.lit("B"), F.col("b").cast("string")).alias("Grade"), F.regexp_extract("sku_planner", r"^[^/]+/(\d+)/", 1).cast("int").alias("Sub-grade"),
+        F.regexp_extract("sku_planner", r"(\d+)gsm", 1).cast("int").alias("Grammage"), F.lit(2100).alias("Width"), F.col("product_sap").alias("Product"), F.col("strategy").alias("Strategy"),
         F.col("forecast_to").cast("string").alias("Plant Forecast"), F.lit("X").alias(f"{name}´{mes[2:4]} allocation"),
     )
 
 
 @query("planner_assignment_scan", with_("plan span", f"""
-select planta, mes, replace(sku, '/01/1/', '/01/') as sku_planner, product_sap::int as product_sap, strategy, {r('f', 'forecast_to')}
-from plan, span where t = last_mi and sku like '%/01/1/%'"""))
+select planta, mes, regexp_replace(sku, '^([^/]+)/([0-9]+)/1/', '\\1/\\2/') as sku_planner, product_sap::int as product_sap, strategy, {r('f', 'forecast_to')} from plan"""))
 def planner_assignment_scan(spark, sf):
-    return rounded(src.read_assignment(raw_assignment(spark, sf)))
+    """The tables of all months, every sub-grade, each read from its own source."""
+    panel = closed_panel(spark, sf)
+    tables = [src.read_assignment(raw_assignment(spark, sf, panel.label_of(mi))) for mi in range(panel.last_mi - TEST_MONTHS + 1, panel.last_mi + 1)]
+    out = tables[0]
+    for one in tables[1:]:
+        out = out.unionByName(one)
+    return rounded(out)
 
 
 def raw_internal(spark, sf) -> DataFrame:
-    """The internal table of the last four months, one column per month, with its Result row."""
+    """The internal table of all the months it has, one column per month, with its Result row."""
     panel = closed_panel(spark, sf)
-    months = [panel.label_of(panel.last_mi - k) for k in (3, 2, 1, 0)]
+    months = [panel.label_of(mi) for mi in range(panel.last_mi - TEST_MONTHS + 1, panel.last_mi + 1)]
     rows = internal_rows(spark, sf).where(F.col("mes").isin(months))
     wide = rows.groupBy("planta", "b", "gsm", "product_sap").pivot("mes", months).agg(F.sum("forecast_to"))
     names = {m: f"{m[5:7]}.{m[:4]}" for m in months}
@@ -320,8 +323,8 @@ def raw_internal(spark, sf) -> DataFrame:
 
 _LAST4 = """
 select k.planta, m.mes, format('B{}/01/{}gsm/2100mm', k.b, k.gsm) as sku_planner, k.product_sap::int as product_sap, coalesce(i.f, 0) as f
-from (select distinct planta, b, gsm, product_sap from inte where mes in (select mes from cal, span where mi between last_mi - 3 and last_mi)) k
-     cross join (select mes from cal, span where mi between last_mi - 3 and last_mi) m
+from (select distinct planta, b, gsm, product_sap from inte where mes in (select mes from cal, span where mi between last_mi - 11 and last_mi)) k
+     cross join (select mes from cal, span where mi between last_mi - 11 and last_mi) m
      left join inte i on i.planta = k.planta and i.b = k.b and i.gsm = k.gsm and i.mes = m.mes"""
 
 
@@ -352,14 +355,14 @@ def product_dictionary(spark, sf):
 
 def internal_wide(spark, sf) -> tuple[DataFrame, list[str]]:
     panel = closed_panel(spark, sf)
-    months = [panel.label_of(panel.last_mi - k) for k in (3, 2, 1, 0)]
+    months = [panel.label_of(mi) for mi in range(panel.last_mi - TEST_MONTHS + 1, panel.last_mi + 1)]
     rows = internal_rows(spark, sf).where(F.col("mes").isin(months))
     return rows.groupBy("planta", "product_sap").pivot("mes", months).agg(F.sum("forecast_to")), months
 
 
 _CODES = """
-(select k.planta, k.product_sap, m.mes, i.f from (select distinct planta, product_sap from inte where mes in (select mes from cal, span where mi between last_mi - 3 and last_mi)) k
- cross join (select mes from cal, span where mi between last_mi - 3 and last_mi) m left join inte i on i.planta = k.planta and i.product_sap = k.product_sap and i.mes = m.mes)"""
+(select k.planta, k.product_sap, m.mes, i.f from (select distinct planta, product_sap from inte where mes in (select mes from cal, span where mi between last_mi - 11 and last_mi)) k
+ cross join (select mes from cal, span where mi between last_mi - 11 and last_mi) m left join inte i on i.planta = k.planta and i.product_sap = k.product_sap and i.mes = m.mes)"""
 
 
 @query("internal_by_code", with_("inte cal span dict", f"""

@@ -11,9 +11,11 @@ from caudal.operators.levels import score_models_by_level
 from caudal.operators.month_state import resolve_strategy
 from caudal.plans import strategies as sg
 from caudal.plans import tuning as tn
-from caudal.plans.learners import Budget, fit, predicted, with_vector
+from caudal.plans.learners import KINDS, Budget, fit, predicted, with_vector
 
-# Few and shallow trees: these queries show the runs; production uses the defaults of the learners.
+# The forecasts use the default parameters of the learners with fewer trees than production; the backtests and the search
+# fit hundreds of models over all test months and kinds, with few and shallow trees. The README says why.
+FORECAST = Budget(max_trees=100, min_trees=20, rf_trees=50)
 SMALL = Budget(max_trees=4, min_trees=4, rf_trees=5)
 SHALLOW = {
     "lgbm": {"best_params": {"maxDepth": 2, "stepSize": 0.3}},
@@ -21,18 +23,19 @@ SHALLOW = {
     "rf": {"best_params": {"maxDepth": 5, "featureSubsetStrategy": "all"}},
 }
 DAY = 15
+TRIALS = 3
 
 
 @query("forecast_next_month")
 def forecast_next_month(spark, sf):
     panel = closed_panel(spark, sf)
-    return rounded(sg.direct_forecast(panel, panel.last_mi, 1, SHALLOW, SMALL))
+    return rounded(sg.direct_forecast(panel, panel.last_mi, 1, budget=FORECAST))
 
 
 @query("forecast_two_months_direct")
 def forecast_two_months_direct(spark, sf):
     panel = closed_panel(spark, sf)
-    return rounded(sg.direct_forecast(panel, panel.last_mi - 2, 2, SHALLOW, SMALL, "directa"))
+    return rounded(sg.direct_forecast(panel, panel.last_mi - 2, 2, budget=FORECAST, name="directa"))
 
 
 @query("forecast_by_plan")
@@ -40,44 +43,44 @@ def forecast_by_plan(spark, sf):
     """The strategy the open month asks for (its first days complete it)."""
     df, panel = consumption(spark, sf), open_panel(spark, sf)
     _, plan = resolve_strategy(df)
-    return rounded(sg.forecast_with_strategy(df, panel, plan.strategy, panel.index_of(plan.origin), plan.cutoff_day, SHALLOW, SMALL))
+    return rounded(sg.forecast_with_strategy(df, panel, plan.strategy, panel.index_of(plan.origin), plan.cutoff_day, budget=FORECAST))
 
 
 @query("nowcast_input_forecast")
 def nowcast_input_forecast(spark, sf):
     panel = closed_panel(spark, sf)
-    return rounded(sg.nowcast_input_forecast(closed(spark, sf), panel, panel.last_mi - 2, DAY, SHALLOW, SMALL))
+    return rounded(sg.nowcast_input_forecast(closed(spark, sf), panel, panel.last_mi - 2, DAY, budget=FORECAST))
 
 
 @query("iterated_forecast")
 def iterated_forecast(spark, sf):
     panel = closed_panel(spark, sf)
-    return rounded(sg.iterated_forecast(panel, panel.last_mi - 2, SHALLOW, SMALL))
+    return rounded(sg.iterated_forecast(panel, panel.last_mi - 2, budget=FORECAST))
 
 
 @query("tweedie_forecast")
 def tweedie_forecast(spark, sf):
     """The Tweedie loss through a generalised linear model."""
     panel = closed_panel(spark, sf)
-    names = ["lag1", "mean3", "mean12", "n_days_t", "occ6"]
-    ready = with_vector(frame(spark, sf), names)
-    model = fit("tweedie", {"linkPower": 0.5}, ready.where(F.col("t") < panel.last_mi))
+    ready = with_vector(frame(spark, sf))
+    model = fit("tweedie", {}, ready.where(F.col("t") < panel.last_mi))
     return rounded(predicted(model, ready.where(F.col("t") == panel.last_mi), "tweedie").select("planta", "sku", "t", "y", "tweedie"))
 
 
 @query("backtest_members")
 def backtest_members(spark, sf):
     last = closed_panel(spark, sf).last_mi
-    return rounded(sg.collect_members(frame(spark, sf), [last - 1, last], 1, SHALLOW, SMALL))
+    return rounded(sg.collect_members(frame(spark, sf), list(range(last - TEST_MONTHS + 1, last + 1)), 1, SHALLOW, SMALL))
 
 
 @query("horizon_strategies")
 def horizon_strategies(spark, sf):
     """Direct, direct with first days, iterated and naive, two months ahead, scored at every level."""
     panel = closed_panel(spark, sf)
-    res = sg.strategy_forecasts(closed(spark, sf), panel, [panel.last_mi], DAY, SHALLOW, SMALL)
+    first = panel.last_mi - TEST_MONTHS + 1
+    res = sg.strategy_forecasts(closed(spark, sf), panel, list(range(first, panel.last_mi + 1)), DAY, SHALLOW, SMALL)
     models = ["direct", "partial", "iterated", "naive"]
-    return rounded(score_models_by_level(panel, sg.common_series(res, models), models, panel.last_mi, panel.last_mi))
+    return rounded(score_models_by_level(panel, sg.common_series(res, models), models, first, panel.last_mi))
 
 
 @query("tuning_folds", with_("frame span", f"""
@@ -91,14 +94,14 @@ def tuning_folds(spark, sf):
 @query("tuning_search")
 def tuning_search(spark, sf):
     end = closed_panel(spark, sf).last_mi - TEST_MONTHS
-    study = tn.run_study("rf", frame(spark, sf), 1, end, 2, budget=SMALL, base=SHALLOW["rf"]["best_params"])
-    return rounded(study.select("trial", "wape", F.map_entries("params").cast("string").alias("params")))
+    studies = [tn.run_study(k, frame(spark, sf), 1, end, TRIALS, budget=SMALL, base=SHALLOW[k]["best_params"]).withColumn("kind", F.lit(k)) for k in KINDS]
+    both = studies[0].unionByName(studies[1]).unionByName(studies[2])
+    return rounded(both.select("kind", "trial", "wape", F.map_entries("params").cast("string").alias("params")))
 
 
 @query("tuning_candidate")
 def tuning_candidate(spark, sf):
     panel = closed_panel(spark, sf)
-    scores = tn.compare_base_and_tuned(
-        "rf", {"maxDepth": 6, "featureSubsetStrategy": "all"}, frame(spark, sf), panel, 1, [panel.last_mi], [0], SMALL, SHALLOW["rf"]["best_params"]
-    )
-    return rounded(candidate_summary(scores))
+    months = list(range(panel.last_mi - TEST_MONTHS + 1, panel.last_mi + 1))
+    parts = [tn.compare_base_and_tuned(k, SHALLOW[k]["best_params"] | {"maxDepth": 6}, frame(spark, sf), panel, 1, months, [0], SMALL, SHALLOW[k]["best_params"]) for k in KINDS]
+    return rounded(candidate_summary(parts[0].unionByName(parts[1]).unionByName(parts[2])))

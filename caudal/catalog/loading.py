@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from calendar import monthrange
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,8 @@ from caudal.sources import store as st
 
 def last_month_rows(spark, sf) -> DataFrame:
     panel = closed_panel(spark, sf)
-    return closed(spark, sf).where(F.date_format("fecha", "yyyy-MM") == panel.label_of(panel.last_mi))
+    year, month = map(int, panel.label_of(panel.last_mi).split("-"))
+    return closed(spark, sf).where(F.col("fecha").between(F.lit(dt.date(year, month, 1)), F.lit(dt.date(year, month, monthrange(year, month)[1]))))  # a range reaches the scan
 
 
 def wide_export(spark, sf) -> DataFrame:
@@ -28,8 +32,8 @@ def wide_export(spark, sf) -> DataFrame:
     rows = last_month_rows(spark, sf).withColumn("d", F.date_format("fecha", "dd.MM.yyyy"))
     panel = closed_panel(spark, sf)
     label = panel.label_of(panel.last_mi)
-    days = [f"{k:02d}.{label[5:]}.{label[:4]}" for k in range(1, 29)]
-    wide = rows.where(F.dayofmonth("fecha") <= 28).groupBy("planta", "sku").pivot("d", days).agg(F.sum(F.col("consumo") - 20.0))
+    days = [f"{k:02d}.{label[5:]}.{label[:4]}" for k in range(1, monthrange(int(label[:4]), int(label[5:]))[1] + 1)]
+    wide = rows.groupBy("planta", "sku").pivot("d", days).agg(F.sum(F.col("consumo") - 20.0))
     wide = wide.withColumn("#", F.lit(None).cast("double"))
     total = wide.groupBy().agg(*[F.sum(F.col(f"`{d}`")).alias(d) for d in days]).select(F.lit("Result").alias("planta"), F.lit("x").alias("sku"), *[F.col(f"`{d}`") for d in days], F.lit(None).cast("double").alias("#"))
     return wide.unionByName(total)
@@ -38,12 +42,12 @@ def wide_export(spark, sf) -> DataFrame:
 cte("lastm", ("closed",), "select * from closed where date_trunc('month', fecha) = (select date_trunc('month', max(fecha)) from closed)")
 
 
-@query("wide_export_long", with_("lastm", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from lastm where day(fecha) <= 28"))
+@query("wide_export_long", with_("lastm", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from lastm"))
 def wide_export_long(spark, sf):
     return ex.read_export(wide_export(spark, sf))
 
 
-@query("wide_export_without_zeros", with_("lastm", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from lastm where day(fecha) <= 28 and consumo <> 20"))
+@query("wide_export_without_zeros", with_("lastm", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from lastm where consumo <> 20"))
 def wide_export_without_zeros(spark, sf):
     return ex.read_export(wide_export(spark, sf), drop_zeros=True)
 

@@ -148,8 +148,9 @@ def sku_losses(spark, sf):
 @query("model_confidence_set")
 def model_confidence_set(spark, sf):
     first, last = window(spark, sf)
-    sums = levels.period_losses(closed_panel(spark, sf), combined(spark, sf), MODELS, first, last).where(F.col("nivel") == "sku")
-    return rounded(confidence.with_sets(confidence.model_confidence_set(sums, MODELS)))
+    losses = levels.period_losses(closed_panel(spark, sf), combined(spark, sf), MODELS, first, last)
+    parts = [confidence.with_sets(confidence.model_confidence_set(losses.where(F.col("nivel") == level), MODELS)).withColumn("nivel", F.lit(level)) for level in ("sku", "planta", "total")]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 @query("level_rollup", with_("panel", f"""
