@@ -37,7 +37,7 @@ from caudal.llm.words import Rolling, mixed, row_slices, signed, sorted_groups,
 
 CELLS = 1 << 20  # of the table of counts: 8 MB, whatever the input
 PART = 4096  # cells in one row while the table is added up
-PROFILE = 1024  # bits of a set's profile: whether a cell has an odd number of elements
+PROFILE = 1024  # bits of a set's profile: whether a cell has an odd number of elements (tells more than counts in fewer cells)
 BLOCK = 2048  # members of a list that are compared in one group
 
 
