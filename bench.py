@@ -17,7 +17,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 QUERIES = [
     "consumption_scan", "monthly_panel", "frame_h1", "scores_by_level", "ensemble_scores", "reconciled_forecasts", "check_summary", "change_planta_sku", "eda_series",
-    "nowcast_table", "nowcast_global_scores_mes", "expected_rest_of_month", "scenario_bands", "model_confidence_set", "planner_compare", "planner_summary",
+    "nowcast_table", "nowcast_global_scores_mes", "expected_rest_of_month", "model_confidence_set", "planner_compare", "planner_summary",
     "tracking_scores", "tracking_rows", "load_merged", "prediction_store_scan",
 ]
 

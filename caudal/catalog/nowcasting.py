@@ -1,4 +1,4 @@
-"""Month in progress: state, strategy, completions, backtest scores and scenarios."""
+"""Month in progress: state, strategy, completions, backtest scores and the expected rest."""
 
 from __future__ import annotations
 
@@ -215,9 +215,9 @@ def nowcast_decision_criteria(spark, sf):
 
 @query("nowcast_decision_all")
 def nowcast_decision_all(spark, sf):
-    """The four criteria with the scenario models among the rivals."""
-    table = with_scenarios(spark, sf)
-    return nc.decision_criteria(nc.global_scores(table, "resto"), nc.global_scores(table, "mes"), nc.planta_scores(table, "mes"), ["mediana", *SIMULATED])
+    """The four criteria with the expected rest among the rivals."""
+    table = with_expected(spark, sf)
+    return nc.decision_criteria(nc.global_scores(table, "resto"), nc.global_scores(table, "mes"), nc.planta_scores(table, "mes"), ["mediana", *EXPECTED])
 
 
 _SWEEP = " union all ".join(
@@ -264,9 +264,9 @@ def rest_references(spark, sf):
     return rounded(nc.prorata_references(closed(spark, sf), panel, panel.last_mi - MONTHS + 1, panel.last_mi, DAY))
 
 
-# ---- scenarios -----------------------------------------------------------------------------------------------------------
+# ---- expected rest --------------------------------------------------------------------------------------------------------
 
-SIMULATED = ["montecarlo_historia_mes", "montecarlo_solo_mes"]
+EXPECTED = ["esperado_historia_mes", "esperado_solo_mes"]
 cte("cutd", ("span",), f"""
 select cast(date_trunc('month', d1) as date) as start, cast(date_trunc('month', d1) + interval {DAY - 1} day as date) as cut,
        greatest(cast(date_trunc('month', d1) + interval {DAY - 1} day - interval 364 day as date), cast(date_trunc('month', d0) as date)) as low from span""")
@@ -309,34 +309,20 @@ def expected_rest_of_month(spark, sf):
     return rounded(sc.expected_rest(closed(spark, sf), panel, panel.last_mi, DAY))
 
 
-def scenario_draws(spark, sf, mi: int, draws: int = 200, alone: bool = False):
-    panel = closed_panel(spark, sf)
-    options = {"lookback": DAY, "shrink": 0.0} if alone else {}
-    return sc.simulate_rest(closed(spark, sf), panel, mi, DAY, draws, 0, **options)
-
-
-def with_scenarios(spark, sf, draws: int = 50):
-    """The nowcast table of the last month with both scenario models next to the mean and the median."""
+def with_expected(spark, sf):
+    """The nowcast table of the last month with the expected rest after a year and after the month alone as rivals."""
 
     def build():
         panel = closed_panel(spark, sf)
         mi = panel.last_mi
-        extra = sc.scenario_means(scenario_draws(spark, sf, mi, draws), mi, SIMULATED[0]).join(
-            sc.scenario_means(scenario_draws(spark, sf, mi, draws, alone=True), mi, SIMULATED[1]), ["planta", "sku", "mi"]
-        )
-        table = nc.nowcast_table(closed(spark, sf), panel, mi, mi, DAY, nc.h1_reference(members(spark, sf), H1), extra)
-        return table
+        year = sc.expected_rest(closed(spark, sf), panel, mi, DAY).withColumnRenamed("esperado", f"resto_{EXPECTED[0]}")
+        alone = sc.expected_rest(closed(spark, sf), panel, mi, DAY, lookback=DAY, shrink=0.0).withColumnRenamed("esperado", f"resto_{EXPECTED[1]}")
+        extra = year.join(alone, ["planta", "sku"]).withColumn("mi", F.lit(mi))
+        return nc.nowcast_table(closed(spark, sf), panel, mi, mi, DAY, nc.h1_reference(members(spark, sf), H1), extra)
 
-    return written_once(spark, sf, "nowcast_scenarios", build)
+    return written_once(spark, sf, "nowcast_expected", build)
 
 
 @query("nowcast_month_benchmark")
 def nowcast_month_benchmark(spark, sf):
-    return rounded(nc.global_scores(with_scenarios(spark, sf), "resto"))
-
-
-@query("scenario_bands")
-def scenario_bands(spark, sf):
-    panel = closed_panel(spark, sf)
-    real = nc.completed(panel, nc.alive_before(panel, panel.last_mi, panel.last_mi), nc.first_days(closed(spark, sf), panel, DAY, panel.last_mi, panel.last_mi), DAY)
-    return rounded(sc.scenario_bands(scenario_draws(spark, sf, panel.last_mi, 100), real.select("planta", "sku", F.col("resto").alias("resto_real"))))
+    return rounded(nc.global_scores(with_expected(spark, sf), "resto"))

@@ -296,7 +296,7 @@ def validate(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
         shown: dict[str, list[str]] = {row["code"]: [] for row in errors}
         for row in examples(found.where(F.col("severity") == "error")).orderBy("code", "orden").collect():  # EXAMPLES a rule
             shown[row["code"]].append(" / ".join(str(row[c]) for c in (*REQUIRED, "detail") if row[c] is not None))
-        raise InputError("\n".join([f"{row['n']} rows break the rule {row['code']!r}, such as: " + "; ".join(shown[row["code"]]) for row in errors]))
+        raise InputError("rules broken, " + "; ".join(f"{row['code']}: {row['n']} rows ({', '.join(shown[row['code']])})" for row in errors))
     return counts
 
 

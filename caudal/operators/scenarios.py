@@ -1,17 +1,13 @@
-"""Scenario completion of a month: working days of the planta, days with consumption, and sizes drawn from the past.
-
-Random numbers are hashes of (seed, draw, key, day), so results do not depend on how Spark partitions the rows. A draw
-of a series is one row and its remaining days are folded inside the row: no shuffle grows with draws times days.
-"""
+"""Expected rest of a month: working days of the planta, days with consumption, and the mean size of the past."""
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caudal.functions.numbers import ratio, uniform
+from caudal.functions.numbers import ratio
 from caudal.operators.nowcast import alive_before
 from caudal.operators.panel import SERIES, Panel
 
@@ -94,52 +90,11 @@ def _inputs(df: DataFrame, panel: Panel, mi: int, day: int, lookback: int, shrin
 
 
 def expected_rest(df: DataFrame, panel: Panel, mi: int, day: int, lookback: int = LOOKBACK_DAYS, shrink: float = SHRINK) -> DataFrame:
-    """(planta, sku, esperado): the exact mean of the scenarios."""
+    """(planta, sku, esperado): days left on which the planta works, times the chance that the series consumes on one, times
+    its mean size."""
     plan = F.coalesce("plan", F.array().cast("array<struct<fecha:date,share:double>>"))
     days = F.aggregate(plan, F.lit(0.0), lambda total, d: total + d["share"])
     mean_size = F.aggregate("sizes", F.lit(0.0), lambda total, x: total + x) / F.size("sizes")
     return _inputs(df, panel, mi, day, lookback, shrink).select(
         *SERIES, F.when(F.size("sizes") > 0, days * F.col("q") * mean_size).otherwise(F.lit(0.0)).alias("esperado")
     )
-
-
-def simulate_rest(
-    df: DataFrame, panel: Panel, mi: int, day: int, draws: int = 200, seed: int = 0, lookback: int = LOOKBACK_DAYS, shrink: float = SHRINK
-) -> DataFrame:
-    """(draw, planta, sku, resto): simulated consumption of the days left. The planta works or not for all its SKUs of a
-    draw and day; a SKU then consumes with its own probability a size of its own past."""
-    rows = _inputs(df, panel, mi, day, lookback, shrink).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    number = F.size("sizes")
-
-    def one_day(total: Column, d: Column) -> Column:
-        key = [F.lit(seed), F.col("draw"), d["fecha"], F.col("planta")]
-        works = uniform(*key, F.lit("works")) < d["share"]
-        consumes = uniform(*key, F.col("sku"), F.lit("consumes")) < F.col("q")
-        pick = F.floor(uniform(*key, F.col("sku"), F.lit("size")) * number).cast("int")
-        return total + F.when(works & consumes & (number > 0), F.get("sizes", pick)).otherwise(F.lit(0.0))
-
-    plan = F.coalesce("plan", F.array().cast("array<struct<fecha:date,share:double>>"))
-    return rows.select("draw", *SERIES, F.aggregate(plan, F.lit(0.0), one_day).alias("resto"))
-
-
-def scenario_means(draws: DataFrame, mi: int, model: str) -> DataFrame:
-    """The mean of the draws as a forecast of the rest: (planta, sku, mi, resto_<model>)."""
-    return draws.groupBy(*SERIES).agg(F.avg("resto").alias(f"resto_{model}")).withColumn("mi", F.lit(mi))
-
-
-def scenario_bands(draws: DataFrame, real: DataFrame) -> DataFrame:
-    """Per level: observations, and the share whose real rest lies inside the 10-90 percent band of the draws.
-
-    `real` has planta, sku, resto_real. A band needs only the draws of its own key."""
-    sets = [[F.col(c) for c in keys] for keys in (["draw", "planta", "sku"], ["draw", "planta"], ["draw"])]
-    level = F.when(F.grouping("sku") == 0, "SKU").when(F.grouping("planta") == 0, "planta").otherwise("total")
-    sums = draws.join(real, SERIES).groupingSets(sets, F.col("draw"), F.col("planta"), F.col("sku")).agg(
-        F.sum("resto").alias("resto"), F.sum("resto_real").alias("real"), level.alias("nivel")
-    )
-    band = sums.groupBy("nivel", "planta", "sku").agg(
-        F.percentile("resto", F.array(F.lit(0.1), F.lit(0.9))).alias("banda"), F.max("real").alias("real"), F.avg("resto").alias("media")
-    )
-    inside = F.col("real").between(F.col("banda")[0] - 1e-9, F.col("banda")[1] + 1e-9)
-    return band.groupBy("nivel").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(inside.cast("double")).alias("cobertura_10_90"), F.sum("media").alias("resto_medio"), F.sum("real").alias("resto_real")
-    )
