@@ -31,7 +31,7 @@ from caudal.llm.tables import doc_and
 
 NONE = np.int64(2**62)
 SHORT = 64  # symbols; longer words get a tree of their own
-CACHED_WORDS = 400_000  # a worker forgets what it has merged when it holds more
+CACHED_WORDS = 200_000  # a task forgets what it has merged when it holds more
 
 # The bytes that stand for themselves as characters.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -301,6 +301,7 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool
             made = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())] + ([pa.array(out[3], pa.list_(pa.int32()))] if with_ids else [])
             names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + made, batch.schema.names[:-1] + names)
+    bpe.words.clear()  # the worker lives on and runs other operators
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
