@@ -13,6 +13,7 @@ from caudal.functions.dates import working_days
 from caudal.functions.numbers import ratio
 from caudal.operators.panel import SERIES, Panel, month_to_date
 
+# The first origin, and the names of features and baselines, which saved tables use.
 MIN_ORIGIN = 3
 
 FEATURES = [
