@@ -4,38 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caudal.catalog.domain import TEST_MONTHS, closed, closed_panel, consumption, frame, open_panel
+from caudal.catalog.domain import TEST_MONTHS, closed, closed_panel, consumption, frame, open_panel, written_once
 from caudal.catalog.registry import query, rounded, with_
 from caudal.operators.explore import candidate_summary
 from caudal.operators.levels import score_models_by_level
 from caudal.operators.month_state import resolve_strategy
 from caudal.plans import strategies as sg
 from caudal.plans import tuning as tn
-from caudal.plans.learners import KINDS, Budget, fit, predicted, with_vector
-
-# The forecasts use the default parameters of the learners with fewer trees than production; the backtests and the search
-# fit hundreds of models over all test months and kinds, with few and shallow trees. The README says why.
-FORECAST = Budget(max_trees=100, min_trees=20, rf_trees=50)
-SMALL = Budget(max_trees=4, min_trees=4, rf_trees=5)
-SHALLOW = {
-    "lgbm": {"best_params": {"maxDepth": 2, "stepSize": 0.3}},
-    "xgb": {"best_params": {"maxDepth": 3, "stepSize": 0.3}},
-    "rf": {"best_params": {"maxDepth": 5, "featureSubsetStrategy": "all"}},
-}
+from caudal.plans.learners import KINDS, fit, predicted, with_vector
+
+# Every query fits with the production budget and the default parameters of the learners. The README says how long that takes.
 DAY = 15
-TRIALS = 3
+TRIALS = {"lgbm": 100, "xgb": 100, "rf": 40}
+SEEDS = {"lgbm": [0, 1, 2], "xgb": [0, 1, 2], "rf": [0, 1]}
 
 
 @query("forecast_next_month")
 def forecast_next_month(spark, sf):
     panel = closed_panel(spark, sf)
-    return rounded(sg.direct_forecast(panel, panel.last_mi, 1, budget=FORECAST))
+    return rounded(sg.direct_forecast(panel, panel.last_mi, 1))
 
 
 @query("forecast_two_months_direct")
 def forecast_two_months_direct(spark, sf):
     panel = closed_panel(spark, sf)
-    return rounded(sg.direct_forecast(panel, panel.last_mi - 2, 2, budget=FORECAST, name="directa"))
+    return rounded(sg.direct_forecast(panel, panel.last_mi - 2, 2, name="directa"))
 
 
 @query("forecast_by_plan")
@@ -43,19 +36,19 @@ def forecast_by_plan(spark, sf):
     """The strategy the open month asks for (its first days complete it)."""
     df, panel = consumption(spark, sf), open_panel(spark, sf)
     _, plan = resolve_strategy(df)
-    return rounded(sg.forecast_with_strategy(df, panel, plan.strategy, panel.index_of(plan.origin), plan.cutoff_day, budget=FORECAST))
+    return rounded(sg.forecast_with_strategy(df, panel, plan.strategy, panel.index_of(plan.origin), plan.cutoff_day))
 
 
 @query("nowcast_input_forecast")
 def nowcast_input_forecast(spark, sf):
     panel = closed_panel(spark, sf)
-    return rounded(sg.nowcast_input_forecast(closed(spark, sf), panel, panel.last_mi - 2, DAY, budget=FORECAST))
+    return rounded(sg.nowcast_input_forecast(closed(spark, sf), panel, panel.last_mi - 2, DAY))
 
 
 @query("iterated_forecast")
 def iterated_forecast(spark, sf):
     panel = closed_panel(spark, sf)
-    return rounded(sg.iterated_forecast(panel, panel.last_mi - 2, budget=FORECAST))
+    return rounded(sg.iterated_forecast(panel, panel.last_mi - 2))
 
 
 @query("tweedie_forecast")
@@ -70,7 +63,7 @@ def tweedie_forecast(spark, sf):
 @query("backtest_members")
 def backtest_members(spark, sf):
     last = closed_panel(spark, sf).last_mi
-    return rounded(sg.collect_members(frame(spark, sf), list(range(last - TEST_MONTHS + 1, last + 1)), 1, SHALLOW, SMALL))
+    return rounded(sg.collect_members(frame(spark, sf), list(range(last - TEST_MONTHS + 1, last + 1)), 1))
 
 
 @query("horizon_strategies")
@@ -78,7 +71,7 @@ def horizon_strategies(spark, sf):
     """Direct, direct with first days, iterated and naive, two months ahead, scored at every level."""
     panel = closed_panel(spark, sf)
     first = panel.last_mi - TEST_MONTHS + 1
-    res = sg.strategy_forecasts(closed(spark, sf), panel, list(range(first, panel.last_mi + 1)), DAY, SHALLOW, SMALL)
+    res = sg.strategy_forecasts(closed(spark, sf), panel, list(range(first, panel.last_mi + 1)), DAY)
     models = ["direct", "partial", "iterated", "naive"]
     return rounded(score_models_by_level(panel, sg.common_series(res, models), models, first, panel.last_mi))
 
@@ -91,17 +84,27 @@ def tuning_folds(spark, sf):
     return tn.fold_table(frame(spark, sf), 1, closed_panel(spark, sf).last_mi - TEST_MONTHS)
 
 
+def studies(spark, sf):
+    """Every trial of every kind on the months before the test months."""
+
+    def build():
+        end = closed_panel(spark, sf).last_mi - TEST_MONTHS
+        out = [tn.run_study(k, frame(spark, sf), 1, end, TRIALS[k]).withColumn("kind", F.lit(k)) for k in KINDS]
+        return out[0].unionByName(out[1]).unionByName(out[2])
+
+    return written_once(spark, sf, "tuning_studies", build)
+
+
 @query("tuning_search")
 def tuning_search(spark, sf):
-    end = closed_panel(spark, sf).last_mi - TEST_MONTHS
-    studies = [tn.run_study(k, frame(spark, sf), 1, end, TRIALS, budget=SMALL, base=SHALLOW[k]["best_params"]).withColumn("kind", F.lit(k)) for k in KINDS]
-    both = studies[0].unionByName(studies[1]).unionByName(studies[2])
-    return rounded(both.select("kind", "trial", "wape", F.map_entries("params").cast("string").alias("params")))
+    return rounded(studies(spark, sf).select("kind", "trial", "wape", F.map_entries("params").cast("string").alias("params")))
 
 
 @query("tuning_candidate")
 def tuning_candidate(spark, sf):
+    """The best trial of each kind against the default parameters on the test months."""
     panel = closed_panel(spark, sf)
     months = list(range(panel.last_mi - TEST_MONTHS + 1, panel.last_mi + 1))
-    parts = [tn.compare_base_and_tuned(k, SHALLOW[k]["best_params"] | {"maxDepth": 6}, frame(spark, sf), panel, 1, months, [0], SMALL, SHALLOW[k]["best_params"]) for k in KINDS]
+    best = {k: tn.best_params(studies(spark, sf).where(F.col("kind") == k), k) for k in KINDS}
+    parts = [tn.compare_base_and_tuned(k, best[k], frame(spark, sf), panel, 1, months, SEEDS[k]) for k in KINDS]
     return rounded(candidate_summary(parts[0].unionByName(parts[1]).unionByName(parts[2])))

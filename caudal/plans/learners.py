@@ -8,13 +8,14 @@ which `PATIENCE` further trees bring no smaller absolute error on the validation
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caudal.functions.numbers import row_mean
@@ -27,6 +28,7 @@ MISSING = -1.0
 VALIDATION_MONTHS = 2
 PATIENCE = 50
 FIRST_TREES = 100  # tried before twice as many are
+PARALLEL = 4  # months fitted at a time
 NODE_MEMORY = 1024  # MB of histograms in one pass: more nodes are split in each
 BASE = {
     "lgbm": {"maxDepth": 4, "stepSize": 0.05, "minInstancesPerNode": 30, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
@@ -97,6 +99,13 @@ def predicted(model, rows: DataFrame, name: str) -> DataFrame:
     return model.transform(rows).withColumn(name, F.greatest(F.col("prediction"), F.lit(0.0))).drop("prediction")
 
 
+def side_by_side(spark: SparkSession, work: Callable, jobs: list) -> list:
+    """`work` on every job, `PARALLEL` at a time: the jobs of small fits leave cores idle."""
+    run = inheritable_thread_target(spark)(work)
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return list(pool.map(run, jobs))
+
+
 def parameters(kind: str, tuned: dict | None) -> dict:
     return (tuned or {}).get(kind, {}).get("best_params", BASE[kind])
 

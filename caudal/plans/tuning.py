@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from caudal.functions.scores import error_sums
 from caudal.operators.levels import reconcile, score_models_by_level
 from caudal.operators.panel import Panel
-from caudal.plans.learners import BASE, Budget, fit, predicted, with_vector
+from caudal.plans.learners import BASE, Budget, fit, predicted, side_by_side, with_vector
 from caudal.session import cut_lineage
 
 FOLD_MONTHS = 3
@@ -95,12 +95,12 @@ def best_params(study: DataFrame, kind: str) -> dict:
 def rolling_test(kind: str, params: dict, frame: DataFrame, panel: Panel, horizon: int, test_months: list[int], seeds: list[int], budget: Budget = Budget()) -> DataFrame:
     """Refit before every test month, once per seed: (semilla, planta, sku, o, t, y, p_naive, p, p_rec)."""
     ready = cut_lineage(with_vector(frame))
+    jobs = [(seed, t) for seed in seeds for t in test_months]
+    models = side_by_side(frame.sparkSession, lambda job: fit(kind, params, ready.where(F.col("t") <= job[1] - horizon), budget, job[0]), jobs)
     out = None
-    for seed in seeds:
-        for t in test_months:
-            model = fit(kind, params, ready.where(F.col("t") <= t - horizon), budget, seed)
-            rows = predicted(model, ready.where(F.col("o") == t - horizon), "p").select(F.lit(seed).alias("semilla"), "planta", "sku", "o", "t", "y", "p_naive", "p")
-            out = rows if out is None else out.unionByName(rows)
+    for (seed, t), model in zip(jobs, models, strict=True):
+        rows = predicted(model, ready.where(F.col("o") == t - horizon), "p").select(F.lit(seed).alias("semilla"), "planta", "sku", "o", "t", "y", "p_naive", "p")
+        out = rows if out is None else out.unionByName(rows)
     runs = [reconcile(out.where(F.col("semilla") == seed), panel, horizon, "p", "p_rec") for seed in seeds]
     table = runs[0]
     for run in runs[1:]:
