@@ -8,8 +8,6 @@ import time
 
 from caudal.catalog import load
 from caudal.catalog.domain import closed_panel
-from caudal.catalog.learning import SHALLOW
-from caudal.plans.learners import Budget
 from caudal.plans.strategies import direct_forecast
 from caudal.session import local_session
 
@@ -36,7 +34,7 @@ def main() -> None:
 
     def forecast():
         panel = closed_panel(spark, SF_DIR)
-        return direct_forecast(panel, panel.last_mi, 1, SHALLOW, Budget(max_trees=20, min_trees=20, rf_trees=20))
+        return direct_forecast(panel, panel.last_mi, 1)
 
     times["forecast_run"] = seconds(forecast)
     print(json.dumps({

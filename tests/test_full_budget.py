@@ -4,6 +4,7 @@ import inspect
 
 import pytest
 
+import bench
 from caudal.catalog import learning, load
 from caudal.plans import strategies as sg
 from caudal.plans import tuning as tn
@@ -43,3 +44,7 @@ def test_production_budget(spark, monkeypatch, name):
     assert own["budget"] == Budget()
     assert own.get("base") is None and (name == "tuning_candidate" or own.get("tuned") is None)
     assert own.get("n_trials", 100) >= 40 and len(own.get("seeds", [0, 1])) > 1
+
+
+def test_benchmark_forecast_has_no_budget_of_its_own():
+    assert not {"SHALLOW", "Budget"} & set(vars(bench))
