@@ -33,7 +33,11 @@ def wide_export(spark, sf) -> DataFrame:
     panel = closed_panel(spark, sf)
     label = panel.label_of(panel.last_mi)
     days = [f"{k:02d}.{label[5:]}.{label[:4]}" for k in range(1, monthrange(int(label[:4]), int(label[5:]))[1] + 1)]
-    wide = rows.groupBy("planta", "sku").pivot("d", days).agg(F.sum(F.col("consumo") - 20.0))
+    return with_total(rows.groupBy("planta", "sku").pivot("d", days).agg(F.sum(F.col("consumo") - 20.0)), days)
+
+
+def with_total(wide: DataFrame, days: list[str]) -> DataFrame:
+    """A spacer column and the subtotal row of an export."""
     wide = wide.withColumn("#", F.lit(None).cast("double"))
     total = wide.groupBy().agg(*[F.sum(F.col(f"`{d}`")).alias(d) for d in days]).select(F.lit("Result").alias("planta"), F.lit("x").alias("sku"), *[F.col(f"`{d}`") for d in days], F.lit(None).cast("double").alias("#"))
     return wide.unionByName(total)
@@ -52,6 +56,32 @@ def wide_export_without_zeros(spark, sf):
     return ex.read_export(wide_export(spark, sf), drop_zeros=True)
 
 
+def every_wide_export(spark, sf, drop_zeros: bool = False) -> DataFrame:
+    """All closed months, in a wide export for each year: one column per day, subtotal row and spacer as in `wide_export`."""
+    panel = closed_panel(spark, sf)
+    first, last = closed(spark, sf).agg(F.min("fecha"), F.max("fecha")).first()
+    year, month = map(int, panel.label_of(panel.last_mi).split("-"))
+    last = max(last, dt.date(year, month, monthrange(year, month)[1]))
+    out = None
+    for year in range(first.year, last.year + 1):
+        start, end = max(first, dt.date(year, 1, 1)), min(last, dt.date(year, 12, 31))
+        days = [f"{start + dt.timedelta(days=k):%d.%m.%Y}" for k in range((end - start).days + 1)]
+        rows = closed(spark, sf).where(F.col("fecha").between(F.lit(start), F.lit(end))).withColumn("d", F.date_format("fecha", "dd.MM.yyyy"))
+        part = ex.read_export(with_total(rows.groupBy("planta", "sku").pivot("d", days).agg(F.sum(F.col("consumo") - 20.0)), days), drop_zeros)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("wide_export_long_every_month", with_("closed", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from closed"))
+def wide_export_long_every_month(spark, sf):
+    return every_wide_export(spark, sf)
+
+
+@query("wide_export_without_zeros_every_month", with_("closed", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from closed where consumo <> 20"))
+def wide_export_without_zeros_every_month(spark, sf):
+    return every_wide_export(spark, sf, drop_zeros=True)
+
+
 @query("long_export_long", with_("closed", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from closed where consumo <> 20 and day(fecha) <> 31"))
 def long_export_long(spark, sf):
     day = F.when(F.dayofmonth("fecha") != 31, F.date_format("fecha", "dd.MM.yyyy")).otherwise(F.lit("#"))
