@@ -6,9 +6,9 @@
 3. Candidates. High-recall generators propose spans that may overlap, of any length and format.
 4. Boosted trees judge candidates by format (digits, groups, separators, brackets, edges) and context (words before). They
    learn from candidates that agree with a base span against those that touch none; the checks themselves are no features.
-   The model is fitted on at most `SAMPLE` candidates, those with the least hash of all.
-5. Thresholds. For each kind the lowest score at which, on a fifth of the sample that training doesn't see, `PRECISION` of
-   the candidates agree with a base span. Candidates above it that touch no base span are redacted too.
+   The model is fitted on at most `SAMPLE` candidates of each kind, those with the least hash, a fifth of them left out.
+5. Thresholds. For each kind the lowest score at which, of all candidates that training doesn't see, `PRECISION` agree
+   with a base span. Candidates above it that touch no base span are redacted too.
 
 Defined results: null is empty and has no spans; a text of any length is scanned whole; a null doc_id and repeated rows are
 handled row by row; where the sample has candidates of one sort only, or none, base spans alone are redacted; an empty
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from caudal.llm.tables import numbered, settled
 
-SAMPLE = 20_000
+SAMPLE = 20_000  # candidates of each kind that the trees may see
 TREES, DEPTH = 20, 4
 PRECISION = 0.9
 KINDS = ["email", "ip", "card", "phone"]
@@ -131,14 +131,21 @@ def assembled(candidates: DataFrame) -> DataFrame:
 
 def fit(described: DataFrame) -> tuple[GBTClassificationModel, dict[str, float]] | None:
     """The trees and the threshold of each kind; None where there is nothing to tell apart."""
-    usable = described.where("same or not touches").withColumn("label", F.col("same").cast("double"))
-    sample = settled(usable.withColumn("rank", F.xxhash64("row", "kind", "start", "end")).orderBy("rank", "row", "kind", "start", "end").limit(SAMPLE), "pii-sample")
-    seen = F.pmod("rank", F.lit(5)) != 0
-    kinds = sample.where(seen).agg(F.min("label"), F.max("label")).first()
-    if kinds[0] is None or kinds[0] == kinds[1]:
+    usable = described.where("same or not touches").withColumn("label", F.col("same").cast("double")).withColumn("rank", F.xxhash64("row", "kind", "start", "end"))
+    sample = None
+    for kind in KINDS:
+        part = usable.where(F.col("kind") == kind).orderBy("rank", "row", "start", "end").limit(SAMPLE)
+        sample = part if sample is None else sample.unionByName(part)
+    sample = settled(sample, "pii-sample")
+    held_out = F.pmod("rank", F.lit(5)) == 0
+    labels = sample.where(~held_out).agg(F.min("label"), F.max("label")).first()
+    if labels[0] is None or labels[0] == labels[1]:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11, checkpointInterval=-1).fit(assembled(sample.where(seen)))
-    judged = model.transform(assembled(sample.where(~seen))).select("kind", F.round(vector_to_array("probability")[1], 3).alias("score"), "label")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11, checkpointInterval=-1).fit(assembled(sample.where(~held_out)))
+    # All other candidates are judged: the fifth, and what lies above the last hash of the sample of its kind.
+    last = {r["kind"]: r["rank"] for r in sample.groupBy("kind").agg(F.max("rank").alias("rank")).collect()}
+    beyond = F.col("rank") > F.create_map(*[x for k, v in last.items() for x in (F.lit(k), F.lit(v))])[F.col("kind")]
+    judged = model.transform(assembled(usable.where(held_out | beyond))).select("kind", F.round(vector_to_array("probability")[1], 3).alias("score"), "label")
     at = judged.groupBy("kind", "score").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("all"))  # a thousand scores a kind at most
     above = Window.partitionBy("kind").orderBy(F.col("score").desc())
     precise = at.withColumn("precision", F.sum("right").over(above) / F.sum("all").over(above)).where(F.col("precision") >= PRECISION)
