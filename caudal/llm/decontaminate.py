@@ -8,8 +8,8 @@ within `share` * n edits (a word inserted, deleted or replaced).
 2. Embedding. A CGK walk reads a sequence with one random bit for each step and symbol: it writes the symbol it stands on
    and moves on where the bit is 1. Few edits become few differing places of the embedded sequence.
 3. LSH. Each repetition samples some places of the embedding; a window whose sampled symbols equal the item's is a
-   candidate. The number of repetitions is measured on the items themselves, edited at random as far as allowed, so that
-   the target recall is reached.
+   candidate. The number of repetitions is measured for each item, on copies edited at random as far as allowed, so that
+   each reaches the target recall; windows of items that don't in `MOST_REPETITIONS` all go on.
 4. Verification. The least edit distance between the item and any run of words near the window, by dynamic programming.
 
 The benchmark is held by every task in blocks of at most `BLOCK_WORDS` words, one pass over the documents for each block.
@@ -37,6 +37,9 @@ SHARE = 0.2
 SAMPLED = 3  # places of the embedding in one key
 RECALL = 0.95
 MOST_REPETITIONS = 64
+LEAST_REPETITIONS = 4
+TRIES = 40  # edited copies of an item that its repetitions are measured on
+TRIED_WORDS = 1 << 20  # words of copies at a time
 BLOCK_WORDS = 1 << 20
 SLICE = 4 << 20  # bytes of text searched at a time
 PAD = np.uint64(0)
@@ -91,6 +94,7 @@ class Items:
     symbols: np.ndarray  # word hashes of all items, one after another
     first: np.ndarray
     edits: np.ndarray
+    repetitions: np.ndarray  # of each item; 0 where all windows are verified
     keys: np.ndarray  # by repetition and item
     grams: dict[int, tuple[np.ndarray, np.ndarray]]  # by run length: sorted hashes and the item of each
 
@@ -113,26 +117,40 @@ def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
     return np.array(out, dtype=np.uint64)
 
 
-def repetitions_for(symbols: np.ndarray, first: np.ndarray, edits: np.ndarray, recall: float) -> int:
-    """Enough repetitions that the target share of items, edited as far as allowed, meets its original in one of them."""
+def repetitions_for(symbols: np.ndarray, first: np.ndarray, edits: np.ndarray, recall: float) -> np.ndarray:
+    """For each item the repetitions after which the target share of its copies, edited as far as allowed, has met it in one
+    of them; 0 where that takes more than `MOST_REPETITIONS`."""
     rng = np.random.default_rng(5)
     sizes = np.diff(first)
+    out = np.full(len(sizes), LEAST_REPETITIONS)
     tried = np.flatnonzero((edits > 0) & (sizes > 0))
-    tried = tried[:: max(1, len(tried) // 50)]  # items to measure on; the search itself takes all
-    if len(tried) == 0:
-        return 4
-    copies = [(i, edited(symbols[first[i] : first[i + 1]], int(edits[i]), rng)) for i in tried for _ in range(4)]
-    flat = np.concatenate([c for _, c in copies])
-    begins = np.concatenate([[0], np.cumsum([len(c) for _, c in copies])])[:-1]
-    owner = np.array([i for i, _ in copies])
-    met = np.zeros(len(copies), bool)
+    tried = tried[np.argsort(sizes[tried], kind="stable")]  # a walk is as long as the longest of its group
+    part = np.cumsum(sizes[tried] * TRIES) // TRIED_WORDS
+    for group in np.split(tried, np.flatnonzero(np.diff(part)) + 1):
+        if len(group):
+            out[group] = measured(symbols, first, edits, group, recall, rng)
+    return out
+
+
+def measured(symbols: np.ndarray, first: np.ndarray, edits: np.ndarray, group: np.ndarray, recall: float, rng: np.random.Generator) -> np.ndarray:
+    """The repetitions of the items of one group."""
+    sizes = np.diff(first)
+    copies = [edited(symbols[first[i] : first[i + 1]], int(edits[i]), rng) for i in group for _ in range(TRIES)]
+    lengths = np.array([len(c) for c in copies])
+    size = np.repeat(sizes[group], TRIES)
+    flat = np.concatenate([*copies, np.zeros(int(size.max()) + 1, np.uint64)])
+    begins = np.cumsum(lengths) - lengths
+    met = np.zeros((len(group), TRIES), bool)
+    found = np.zeros(len(group), np.int64)
     for repetition in range(MOST_REPETITIONS):
-        size = sizes[owner]
-        room = np.append(flat, np.zeros(int(size.max()) + 1, np.uint64))
-        met |= embedded_keys(room, begins, size, repetition) == embedded_keys(symbols, first[owner], size, repetition)
-        if met.mean() >= recall:
-            return max(4, repetition + 1)
-    return MOST_REPETITIONS
+        open_ = np.flatnonzero(found == 0)
+        if len(open_) == 0:
+            break
+        at = (open_[:, None] * TRIES + np.arange(TRIES)).ravel()
+        own = embedded_keys(symbols, first[group[open_]], sizes[group[open_]], repetition)
+        met[open_] |= embedded_keys(flat, begins[at], size[at], repetition).reshape(-1, TRIES) == own[:, None]
+        found[open_[met[open_].mean(axis=1) >= recall]] = max(LEAST_REPETITIONS, repetition + 1)
+    return found
 
 
 def prepared(ids: list[int], texts: list[str | None], share: float, recall: float) -> Items:
@@ -141,8 +159,8 @@ def prepared(ids: list[int], texts: list[str | None], share: float, recall: floa
     symbols, first = words.hashes(lower=True), words.first
     sizes = np.diff(first)
     edits = np.floor(share * sizes + 1e-9).astype(np.int64)
-    count = repetitions_for(symbols, first, edits, recall)
-    keys = np.stack([embedded_keys(symbols, first[:-1], sizes, r) for r in range(count)])
+    repetitions = repetitions_for(symbols, first, edits, recall)
+    keys = np.stack([embedded_keys(symbols, first[:-1], sizes, r) for r in range(int(repetitions.max(initial=0)))] or [np.zeros(len(sizes), np.uint64)])
     grams = {}
     lengths = np.array([run_length(int(n), int(k)) if n else 0 for n, k in zip(sizes, edits, strict=True)])
     rolling = Rolling.over(symbols, (1,))
@@ -152,7 +170,7 @@ def prepared(ids: list[int], texts: list[str | None], share: float, recall: floa
         item = np.repeat(own, sizes[own] - q + 1) if len(own) else np.zeros(0, np.int64)
         both = np.unique(np.stack([rolling.run(at, at + q), item.astype(np.uint64)], axis=1), axis=0)
         grams[q] = (both[:, 0].copy(), both[:, 1].astype(np.int64))
-    return Items(ids, symbols, first, edits, keys, grams)
+    return Items(ids, symbols, first, edits, repetitions, keys, grams)
 
 
 def hits(items: Items, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -203,10 +221,13 @@ def matches(items: Items, hashes: np.ndarray, first: np.ndarray) -> dict[int, li
     if len(row) == 0:
         return {}
     size = np.minimum(items.sizes[item], first[row + 1] - first[row] - start)
-    met = np.zeros(len(row), bool)
+    met = items.repetitions[item] == 0
     for repetition, keys in enumerate(items.keys):
+        at = np.flatnonzero(~met & (items.repetitions[item] > repetition))
+        if len(at) == 0:
+            continue
         # Short windows at the end of a text still walk as far as the item would; what is missing reads as padding.
-        met |= window_keys(hashes, first[row] + start, size, items.sizes[item], repetition) == keys[item]
+        met[at] = window_keys(hashes, first[row[at]] + start[at], size[at], items.sizes[item[at]], repetition) == keys[item[at]]
     regions: dict[tuple[int, int], tuple[int, int]] = {}
     out: dict[int, list[dict]] = {}
     for r, i, s in zip(row[met].tolist(), item[met].tolist(), start[met].tolist(), strict=True):
