@@ -19,6 +19,7 @@ from caudal.llm.pii import pii_digests
 from caudal.llm.quality import quality_scores
 from caudal.llm.substring import without_repeats
 from caudal.llm.tables import table
+from caudal.llm.variants import spelling_variants
 from caudal.llm.warc import archived_pages
 
 
@@ -71,5 +72,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_quality, op3_pii, op4_chat, op5_bpe, op6_exact_dedup, op7_jaccard_join, op8_decontamination, op9_lm_scoring, op10_warc)}
-SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING_DEDUP, "op4_chat": sql.CHAT, "op6_exact_dedup": sql.EXACT_DEDUP, "op7_jaccard_join": sql.JACCARD_JOIN, "op10_warc": sql.WARC}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_quality, op3_pii, op4_chat, op5_bpe, op6_exact_dedup, op7_jaccard_join, op8_decontamination, op9_lm_scoring, op10_warc, op13_spelling_variants)}
+SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING_DEDUP, "op4_chat": sql.CHAT, "op6_exact_dedup": sql.EXACT_DEDUP, "op7_jaccard_join": sql.JACCARD_JOIN, "op10_warc": sql.WARC, "op13_spelling_variants": sql.SPELLING_VARIANTS}

