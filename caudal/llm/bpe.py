@@ -37,11 +37,11 @@ CACHED_WORDS = 200_000  # a task forgets what it has merged when it holds more
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
-def tokenizer_path() -> str:
-    """The public vocabulary file that is installed on every machine."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary file that is installed on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def byte_characters() -> list[str]:

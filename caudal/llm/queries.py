@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from caudal.llm import sql
+from caudal.llm.alignment import aligned
 from caudal.llm.bpe import encode, tokenizer_path
 from caudal.llm.chat import chat_digests, probe
 from caudal.llm.decontaminate import contaminations
@@ -72,9 +73,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return aligned(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_quality, op3_pii, op4_chat, op5_bpe, op6_exact_dedup, op7_jaccard_join, op8_decontamination, op9_lm_scoring, op10_warc, op13_spelling_variants)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_quality, op3_pii, op4_chat, op5_bpe, op6_exact_dedup, op7_jaccard_join, op8_decontamination, op9_lm_scoring, op10_warc, op11_alignment, op13_spelling_variants)}
 SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING_DEDUP, "op4_chat": sql.CHAT, "op6_exact_dedup": sql.EXACT_DEDUP, "op7_jaccard_join": sql.JACCARD_JOIN, "op10_warc": sql.WARC, "op13_spelling_variants": sql.SPELLING_VARIANTS}
