@@ -20,6 +20,7 @@ from caudal.llm.pii import pii_digests
 from caudal.llm.quality import quality_scores
 from caudal.llm.substring import without_repeats
 from caudal.llm.tables import table
+from caudal.llm.toxicity import toxicity_scores
 from caudal.llm.variants import spelling_variants
 from caudal.llm.warc import archived_pages
 
@@ -78,9 +79,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True).withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(docs, table(spark, sf_dir, "labels")).select("doc.doc_id", "held_out", "score", "predicted")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_quality, op3_pii, op4_chat, op5_bpe, op6_exact_dedup, op7_jaccard_join, op8_decontamination, op9_lm_scoring, op10_warc, op11_alignment, op13_spelling_variants)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (pipeline, op1_substring_dedup, op2_quality, op3_pii, op4_chat, op5_bpe, op6_exact_dedup, op7_jaccard_join, op8_decontamination, op9_lm_scoring, op10_warc, op11_alignment, op12_toxicity, op13_spelling_variants)}
 SQL: dict[str, str] = {"op1_substring_dedup": sql.SUBSTRING_DEDUP, "op4_chat": sql.CHAT, "op6_exact_dedup": sql.EXACT_DEDUP, "op7_jaccard_join": sql.JACCARD_JOIN, "op10_warc": sql.WARC, "op13_spelling_variants": sql.SPELLING_VARIANTS}
