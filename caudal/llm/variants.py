@@ -226,8 +226,12 @@ def near_pairs(words: DataFrame, threshold: int | None = None) -> DataFrame:
     grams, counts = frequent_grams(words, threshold)
     shared = words.sparkSession.sparkContext.broadcast((grams, counts, tails_of(grams)))  # at most DICTIONARY grams
     listed = settled(words.select("word", "n").mapInArrow(lambda b: entries(b, shared), "key long, own boolean, word string, n long"), "gram-lists")
-    members = listed.where("own").select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    candidates = listed.join(members, "key").where("(own and word < other) or not own")
+    # All sides that read the members are named alike, so that these are shuffled once.
+    members = listed.where("own").select("key", "word", "n")
+    others, firsts = members.withColumnsRenamed({"word": "other", "n": "other_n"}), members.withColumnsRenamed({"word": "first", "n": "first_n"})
+    same_length = firsts.join(others, "key").where("first < other").select(F.col("first").alias("word"), F.col("first_n").alias("n"), "other", "other_n")
+    one_longer = listed.where("not own").select("key", "word", "n").join(others, "key").select("word", "n", "other", "other_n")
+    candidates = same_length.unionByName(one_longer)
     return candidates.where("levenshtein(word, other, 1) = 1").select("word", "n", "other", "other_n").distinct()
 
 
