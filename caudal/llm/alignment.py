@@ -30,17 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.llm.tables import numbered, settled
+from caudal.llm.words import text_bytes
 
 PIECE = 1 << 15  # merged ends
 HOT = 1 << 18  # pairs that are shared with the tasks
-SLICE = 1 << 20  # bytes of text, or tokens, handled at once
-DISTINCT = 1 << 21  # pairs that a task adds up before it gives them on
+SLICE = 1 << 18  # bytes of text, or tokens, handled at once
+DISTINCT = 1 << 18  # pairs that a task adds up before it gives them on
 FAR = 1 << 40  # beyond every byte of a text
 # What separates pieces of text before merging, as byte-level BPE with `use_regex` does.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 
-PIECES = "row long, doc_id long, piece int, n_pieces int, n_a int, n_b int, base_a long, base_b long, a array<int>, b array<int>"
+PIECES = "row long, doc_id long, piece int, n_pieces int, n_a int, n_b int, base_a long, base_b long, a binary, b binary"  # ids as bytes
 SCORED = "row long, doc_id long, piece int, n_pieces int, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, pairs array<long>, times array<long>, groups string, parts array<string>"
 
 
@@ -172,7 +173,7 @@ def cut(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, size: int)
                     rows.append((k, p, len(diagonals) - 1, a1 - a0, b1 - b0, int(a_ends[a0 - 1]) if a0 else 0, int(b_ends[b0 - 1]) if b0 else 0, a[a0 : a1 + 1], b[b0 : b1 + 1]))
             of, piece, n_pieces, n_a, n_b, base_a, base_b, a, b = zip(*rows, strict=True)
             taken = batch.select([0, 1]).take(pa.array(of))
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)), pa.array(np.concatenate(ids))) for ids in (a, b)]
+            lists = [pa.array([x.astype(w).tobytes() for x in ids], pa.binary()) for ids, w in ((a, wide(both.a_sizes)), (b, wide(both.b_sizes)))]
             numbers = [pa.array(x, pa.int32()) for x in (piece, n_pieces, n_a, n_b)] + [pa.array(x, pa.int64()) for x in (base_a, base_b)]
             yield pa.RecordBatch.from_arrays([*taken.columns, *numbers, *lists], ["row", "doc_id", "piece", "n_pieces", "n_a", "n_b", "base_a", "base_b", "a", "b"])
             at = to
@@ -197,9 +198,15 @@ class Merged:
     cut_of: np.ndarray
 
 
+def wide(sizes: np.ndarray) -> type:
+    """What holds an id of a vocabulary."""
+    return np.uint16 if len(sizes) <= 1 << 16 else np.int32
+
+
 def merged(batches: Iterator[pa.RecordBatch], a_sizes: np.ndarray, b_sizes: np.ndarray) -> Iterator[Merged]:
     for whole in batches:
-        counts = np.diff(whole.column("a").offsets.to_numpy()) + np.diff(whole.column("b").offsets.to_numpy())
+        widths = {"a": wide(a_sizes), "b": wide(b_sizes)}
+        counts = sum(np.diff(text_bytes(whole.column(c))[1]) // np.dtype(w).itemsize for c, w in widths.items())
         total = np.concatenate([[0], np.cumsum(counts)])
         at = 0
         while at < whole.num_rows:
@@ -209,7 +216,8 @@ def merged(batches: Iterator[pa.RecordBatch], a_sizes: np.ndarray, b_sizes: np.n
             sides = []
             for name, sizes in (("a", a_sizes), ("b", b_sizes)):
                 column = batch.column(name)
-                ids, n = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+                data, offsets = text_bytes(column)
+                ids, n = np.frombuffer(data.tobytes(), widths[name]), np.diff(offsets) // np.dtype(widths[name]).itemsize
                 of = np.repeat(np.arange(len(n)), n)
                 own_n = batch.column(f"n_{name}").to_numpy()
                 first = np.cumsum(n) - n
@@ -279,8 +287,8 @@ def group_texts(m: Merged, n_a: int, n_b: int) -> Iterator[tuple[str, list[str]]
     before_a, before_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
     a_last, b_last = np.arange(len(m.a)) == (before_a + in_a - 1)[a_part], np.arange(len(m.b)) == (before_b + in_b - 1)[b_part]
     order = np.empty(len(m.a) + len(m.b), dtype=np.int64)
-    order[np.arange(len(m.a)) + before_b[a_part]] = m.a + n_a * a_last
-    order[np.arange(len(m.b)) + (before_a + in_a)[b_part]] = m.b + 2 * n_a + n_b * b_last
+    order[np.arange(len(m.a)) + before_b[a_part]] = m.a.astype(np.int64) + n_a * a_last
+    order[np.arange(len(m.b)) + (before_a + in_a)[b_part]] = m.b.astype(np.int64) + 2 * n_a + n_b * b_last
     begins = np.append(before_a + before_b, len(order))
     first = np.cumsum(n_cuts) - n_cuts + shift
     whole = m.batch.column("n_pieces").to_numpy() == 1

@@ -47,9 +47,9 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a text column and each row's offset; null is empty."""
+    """The bytes of a text or binary column and each row's offset; null is empty."""
     column = column.fill_null("") if column.null_count else column
-    if pa.types.is_string(column.type):
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
         kind = np.int32
     else:
         column, kind = column.cast(pa.large_string()), np.int64
