@@ -11,7 +11,7 @@ from caudal.operators.levels import score_models_by_level
 from caudal.operators.month_state import resolve_strategy
 from caudal.plans import strategies as sg
 from caudal.plans import tuning as tn
-from caudal.plans.learners import KINDS, fit, predicted, with_vector
+from caudal.plans.learners import KINDS, predicted, tweedie_model, with_vector
 
 # Every query fits with the production budget and the default parameters of the learners. The README says how long that takes.
 DAY = 15
@@ -56,7 +56,7 @@ def tweedie_forecast(spark, sf):
     """The Tweedie loss through a generalised linear model."""
     panel = closed_panel(spark, sf)
     ready = with_vector(frame(spark, sf))
-    model = fit("tweedie", {}, ready.where(F.col("t") < panel.last_mi))
+    model = tweedie_model(ready.where(F.col("t") < panel.last_mi))
     return rounded(predicted(model, ready.where(F.col("t") == panel.last_mi), "tweedie").select("planta", "sku", "t", "y", "tweedie"))
 
 

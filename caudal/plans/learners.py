@@ -1,133 +1,74 @@
-"""Tree learners of Spark ML on the forecasting frame, trained on the cluster.
+"""The three members of the forecast: boosted trees of two shapes under the Tweedie loss, and a random forest.
 
-`lgbm` and `xgb` are the names the forecast tables use for the two boosted members; here both are gradient-boosted trees
-of Spark ML with a shallow and a deep shape, and `rf` is its random forest. Spark has no Tweedie boosting, so the numbers
-differ from other libraries; the protocol (validation on the last two months, refit, clip at 0) is the same. The number of boosted trees is the one after
-which `PATIENCE` further trees bring no smaller absolute error on the validation months.
+`lgbm` and `xgb` are the names that forecast tables use for the boosted members: one bounds the leaves of a tree and takes the
+planta as a category, the other bounds its depth. Missing values choose their side at every split. The number of boosted trees
+is the one that `PATIENCE` further trees don't beat on the absolute error of the last target months; then all months are fitted again
+with so many, and forecasts are never below 0. `caudal.plans.boosting` fits them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-
-from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caudal.functions.numbers import row_mean
 from caudal.operators.features import FEATURES
-from caudal.session import checkpoint_dir
+from caudal.plans.boosting import fit_models, forecasts
+from caudal.plans.trees import Budget, Fit
 
 KINDS = ["lgbm", "xgb", "rf"]
 SEED = 0
 MISSING = -1.0
-VALIDATION_MONTHS = 2
-PATIENCE = 50
-FIRST_TREES = 100  # tried before twice as many are
-PARALLEL = 4  # months fitted at a time
-NODE_MEMORY = 1024  # MB of histograms in one pass: more nodes are split in each
+# The parameters before any tuning. Power of the Tweedie variance, learning rate, bounds of a tree, least rows or hessian of a
+# leaf, shares of rows and columns. A forest stops at `depth`.
 BASE = {
-    "lgbm": {"maxDepth": 4, "stepSize": 0.05, "minInstancesPerNode": 30, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
-    "xgb": {"maxDepth": 6, "stepSize": 0.05, "minInstancesPerNode": 50, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
-    "rf": {"maxDepth": 12, "minInstancesPerNode": 1, "featureSubsetStrategy": "all"},
+    "lgbm": {"power": 1.2, "rate": 0.05, "leaves": 15, "min_rows": 30, "row_share": 0.8, "column_share": 0.8, "l1": 0.0, "l2": 0.0},
+    "xgb": {"power": 1.2, "rate": 0.05, "depth": 6, "min_weight": 50.0, "row_share": 0.8, "column_share": 0.8, "gain": 0.0, "l1": 0.0, "l2": 1.0},
+    "rf": {"criterion": "squared", "column_share": 1.0, "min_rows": 1, "row_share": 1.0, "depth": 12},
 }
+__all__ = ["BASE", "KINDS", "Budget", "Fit", "fit_members", "member_fits", "member_forecasts", "ml_mean", "parameters", "tweedie_model", "with_vector"]
 
 
-@dataclass(frozen=True)
-class Budget:
-    """How many trees: boosting stops early below `max_trees`, and is refit with at least `min_trees`."""
-
-    max_trees: int = 1500
-    min_trees: int = 20
-    rf_trees: int = 200
-
-
-def with_vector(frame: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """The frame with its features as one vector; a missing value becomes -1, which no feature takes."""
-    names = features or FEATURES
-    filled = frame.select(*[c for c in frame.columns if c not in names], *[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) for c in names])
-    return VectorAssembler(inputCols=names, outputCol="features").transform(filled)
-
-
-def _boosted(params: dict, trees: int, seed: int) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol="y", maxIter=trees, seed=seed, checkpointInterval=10, maxMemoryInMB=NODE_MEMORY, **params)
-
-
-def stopping_point(errors: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
-    """(trees, settled): the first smallest error that the next `patience` trees do not beat, and whether so many came."""
-    best = 0
-    for at, error in enumerate(errors):
-        if error < errors[best]:
-            best = at
-        elif at - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def tree_count(params: dict, train: DataFrame, validation: DataFrame, budget: Budget, seed: int) -> int:
-    """Trees after which the validation error stops falling. The same seed grows the same first trees, so a probe that is
-    too short is repeated with twice as many."""
-    if validation.isEmpty() or train.isEmpty():
-        return budget.min_trees
-    trees = min(FIRST_TREES, budget.max_trees)
-    while True:
-        found, settled = stopping_point(_boosted(params, trees, seed).fit(train).evaluateEachIteration(validation, "absolute"))
-        if settled or trees >= budget.max_trees:
-            return found
-        trees = min(2 * trees, budget.max_trees)
-
+def parameters(kind: str, tuned: dict | None) -> dict:
+    """Tuned parameters over the base ones."""
+    return {**BASE[kind], **(tuned or {}).get(kind, {}).get("best_params", {})}
 
-def fit(kind: str, params: dict, train: DataFrame, budget: Budget = Budget(), seed: int = SEED):
-    """A fitted model of one kind on a frame with `features`, `y` and the target month `t`."""
-    checkpoint_dir(train.sparkSession)
-    rows = train.where(F.col("y").isNotNull())
-    if kind == "rf":
-        return RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=budget.rf_trees, seed=seed, checkpointInterval=10, maxMemoryInMB=NODE_MEMORY, cacheNodeIds=True, **params).fit(rows)
-    if kind == "tweedie":
-        return GeneralizedLinearRegression(featuresCol="features", labelCol="y", family="tweedie", **{"variancePower": 1.2, "linkPower": 0.0, **params}).fit(rows)
-    last = rows.agg(F.max("t").alias("t")).first()["t"]
-    late = F.col("t") > last - VALIDATION_MONTHS
-    return _boosted(params, max(tree_count(params, rows.where(~late), rows.where(late), budget, seed), budget.min_trees), seed).fit(rows)
 
+def member_fits(group: str, train_to: int, tuned: dict | None = None, budget: Budget = Budget(), seed: int = SEED) -> list[Fit]:
+    return [Fit(group, kind, parameters(kind, tuned), train_to, seed, budget) for kind in KINDS]
 
-def predicted(model, rows: DataFrame, name: str) -> DataFrame:
-    """`rows` with the forecast of one model, never below 0."""
-    return model.transform(rows).withColumn(name, F.greatest(F.col("prediction"), F.lit(0.0))).drop("prediction")
 
+def fit_members(ready: DataFrame, train_to: dict[str, int], tuned: dict | None = None, budget: Budget = Budget(), seed: int = SEED, features: list[str] | None = None) -> DataFrame:
+    """The members of every group, which trains on target months up to its `train_to`: one table of models. `ready` is settled."""
+    return fit_models(ready, [f for group, to in train_to.items() for f in member_fits(group, to, tuned, budget, seed)], features or FEATURES)
 
-def side_by_side(spark: SparkSession, work: Callable, jobs: list) -> list:
-    """`work` on every job, `PARALLEL` at a time: the jobs of small fits leave cores idle."""
-    run = inheritable_thread_target(spark)(work)
-    with ThreadPoolExecutor(PARALLEL) as pool:
-        return list(pool.map(run, jobs))
 
+def ml_mean() -> Column:
+    return row_mean([F.col(k) for k in KINDS])
 
-def parameters(kind: str, tuned: dict | None) -> dict:
-    return (tuned or {}).get(kind, {}).get("best_params", BASE[kind])
 
+def member_forecasts(models: DataFrame, rows: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """`rows`, with the column `group` that names their models, with a column per member and their mean."""
+    return forecasts(models, rows, features or FEATURES, KINDS).withColumn("ml_mean", ml_mean())
 
-def fit_members(train: DataFrame, tuned: dict | None = None, budget: Budget = Budget(), seed: int = SEED) -> dict:
-    """The three members, fitted side by side: their jobs share the cluster."""
-    job = inheritable_thread_target(train.sparkSession)(lambda kind: fit(kind, parameters(kind, tuned), train, budget, seed))
-    with ThreadPoolExecutor(len(KINDS)) as pool:
-        return dict(zip(KINDS, pool.map(job, KINDS)))
 
+# ---- a generalised linear model beside the trees --------------------------------------------------------------------------
 
-def ml_mean() -> Column:
-    return row_mean([F.col(k) for k in KINDS])
 
+def with_vector(frame: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """The frame with its features as one vector; a missing value becomes -1, which no feature takes."""
+    names = features or FEATURES
+    filled = frame.select(*[c for c in frame.columns if c not in names], *[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) for c in names])
+    return VectorAssembler(inputCols=names, outputCol="features").transform(filled)
 
-def member_forecasts(models: dict, rows: DataFrame) -> DataFrame:
-    """`rows` with a column per member and their mean; lazy, one scan for all of them."""
-    for kind in KINDS:
-        rows = predicted(models[kind], rows, kind)
-    return rows.withColumn("ml_mean", ml_mean()).drop("features")
 
+def tweedie_model(train: DataFrame, power: float = 1.2):
+    """The Tweedie loss under a log link, without trees."""
+    return GeneralizedLinearRegression(featuresCol="features", labelCol="y", family="tweedie", variancePower=power, linkPower=0.0).fit(train.where(F.col("y").isNotNull()))
 
-def ml_forecasts(train: DataFrame, rows: DataFrame, tuned: dict | None = None, budget: Budget = Budget(), seed: int = SEED) -> DataFrame:
-    return member_forecasts(fit_members(train, tuned, budget, seed), rows)
 
+def predicted(model, rows: DataFrame, name: str) -> DataFrame:
+    """`rows` with the forecast of one linear model, never below 0."""
+    return model.transform(rows).withColumn(name, F.greatest(F.col("prediction"), F.lit(0.0))).drop("prediction")

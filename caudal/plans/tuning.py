@@ -1,31 +1,37 @@
 """Better parameters for the learners: random draws scored on later and later quarters, then a test on unseen months.
 
-Draw 0 is the standing configuration and the others follow from the seed. Fits of several draws share the cluster.
+Draw 0 is the standing configuration and the others follow from the seed. All fits of a study share the cluster.
 """
 
 from __future__ import annotations
 
 import random
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.functions.scores import error_sums
+from caudal.operators.features import FEATURES
 from caudal.operators.levels import reconcile, score_models_by_level
 from caudal.operators.panel import Panel
-from caudal.plans.learners import BASE, Budget, fit, predicted, side_by_side, with_vector
+from caudal.plans.boosting import fit_models, forecasts
+from caudal.plans.learners import BASE, Budget, Fit
 from caudal.session import cut_lineage
 
 FOLD_MONTHS = 3
 N_FOLDS = 3
-# (low, high, whole number?, logarithmic?)
+# Fixed values, the ranges of the search: (low, high, whole number?, logarithmic?), or the names to choose from.
 SPACE = {
-    "lgbm": {"maxDepth": (2, 7, True, False), "stepSize": (0.02, 0.2, False, True), "minInstancesPerNode": (5, 200, True, True), "subsamplingRate": (0.5, 1.0, False, False)},
-    "xgb": {"maxDepth": (3, 10, True, False), "stepSize": (0.02, 0.2, False, True), "minInstancesPerNode": (1, 200, True, True), "subsamplingRate": (0.5, 1.0, False, False)},
-    "rf": {"maxDepth": (5, 15, True, False), "minInstancesPerNode": (1, 60, True, True), "subsamplingRate": (0.3, 1.0, False, False)},
-}
+    "lgbm": {
+        "power": (1.05, 1.9, False, False), "rate": (0.02, 0.2, False, True), "leaves": (4, 128, True, True), "min_rows": (5, 200, True, True), "row_share": (0.5, 1.0, False, False),
+        "column_share": (0.4, 1.0, False, False), "l1": (1e-8, 10.0, False, True), "l2": (1e-8, 10.0, False, True),
+    },
+    "xgb": {
+        "power": (1.05, 1.9, False, False), "rate": (0.02, 0.2, False, True), "depth": (3, 10, True, False), "min_weight": (1.0, 200.0, False, True), "gain": (1e-8, 5.0, False, True),
+        "row_share": (0.5, 1.0, False, False), "column_share": (0.4, 1.0, False, False), "l1": (1e-8, 10.0, False, True), "l2": (1e-8, 10.0, False, True),
+    },
+    "rf": {"criterion": ["squared", "poisson"], "column_share": (0.2, 1.0, False, False), "min_rows": (1, 60, True, True), "row_share": (0.3, 1.0, False, False)},
+}
 
 
 def fold_starts(tune_end: int) -> list[int]:
@@ -47,34 +53,33 @@ def fold_table(frame: DataFrame, horizon: int, tune_end: int) -> DataFrame:
 def sample(kind: str, rng: random.Random) -> dict:
     """One draw of the search space."""
     out = dict(BASE[kind])
-    for name, (low, high, whole, logarithmic) in SPACE[kind].items():
+    for name, range_ in SPACE[kind].items():
+        if isinstance(range_, list):
+            out[name] = rng.choice(range_)
+            continue
+        low, high, whole, logarithmic = range_
         value = low * (high / low) ** rng.random() if logarithmic else low + (high - low) * rng.random()
         out[name] = round(value) if whole else value
     return out
 
 
-def fold_wape(kind: str, params: dict, ready: DataFrame, start: int, horizon: int, budget: Budget) -> float:
-    train = ready.where(F.col("t") <= start - horizon)
-    rows = ready.where(F.col("t").between(start, start + FOLD_MONTHS - 1))
-    scored = predicted(fit(kind, params, train, budget), rows, "p").agg(*error_sums(F.col("y"), F.col("p"))).first()
-    return scored["abs_error"] / scored["real"]
-
-
-def run_study(kind: str, frame: DataFrame, horizon: int, tune_end: int, n_trials: int, seed: int = 42, budget: Budget = Budget(), parallel: int = 2, base: dict | None = None) -> DataFrame:
-    """(trial, wape, fold_wape, params): the baseline is trial 0."""
-    ready = cut_lineage(with_vector(frame.where(F.col("t") <= tune_end)))
+def run_study(kind: str, frame: DataFrame, horizon: int, tune_end: int, n_trials: int, seed: int = 42, budget: Budget = Budget(), base: dict | None = None) -> DataFrame:
+    """(trial, wape, fold_wape, params): the baseline is trial 0. All trials on all folds are fitted at once, as many side by side as there
+    are cores: a fit whose patience is over makes room for the next."""
+    ready = cut_lineage(frame.where(F.col("t") <= tune_end))
     rng = random.Random(seed)
     trials = [base or BASE[kind], *[sample(kind, rng) for _ in range(n_trials - 1)]]
     starts = fold_starts(tune_end)
-    jobs = [(i, start) for i in range(len(trials)) for start in starts]
-    run = inheritable_thread_target(frame.sparkSession)(lambda job: fold_wape(kind, trials[job[0]], ready, job[1], horizon, budget))
-    with ThreadPoolExecutor(parallel) as pool:
-        scores = list(pool.map(run, jobs))
-    rows = []
-    for i, params in enumerate(trials):
-        own = [s for (trial, _), s in zip(jobs, scores) if trial == i]
-        rows.append((i, sum(own) / len(own), own, {k: str(v) for k, v in params.items()}))
-    return frame.sparkSession.createDataFrame(rows, "trial int, wape double, fold_wape array<double>, params map<string,string>")
+    fits = [Fit(f"{trial}:{fold}", kind, params, start - horizon, 0, budget) for trial, params in enumerate(trials) for fold, start in enumerate(starts)]
+    models = fit_models(ready, fits, FEATURES)
+    fold = F.floor((F.col("t") - starts[0]) / FOLD_MONTHS).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))).alias("trial")
+    rows = ready.where(F.col("t").between(starts[0], tune_end)).select("planta", "sku", "o", "t", "y", *FEATURES, fold.alias("fold"), each)
+    judged = forecasts(models, rows.withColumn("group", F.concat_ws(":", "trial", "fold")), FEATURES, [kind])
+    errors = judged.groupBy("trial", "fold").agg(*error_sums(F.col("y"), F.col(kind))).select("trial", "fold", (F.col("abs_error") / F.col("real")).alias("wape"))
+    scores = errors.groupBy("trial").agg(F.avg("wape").alias("wape"), F.transform(F.sort_array(F.collect_list(F.struct("fold", "wape"))), lambda x: x["wape"]).alias("fold_wape"))
+    given = frame.sparkSession.createDataFrame([(i, {k: str(v) for k, v in params.items()}) for i, params in enumerate(trials)], "trial int, params map<string,string>")
+    return scores.join(given, "trial").select(F.col("trial").cast("int").alias("trial"), "wape", "fold_wape", "params")
 
 
 def best_params(study: DataFrame, kind: str) -> dict:
@@ -93,14 +98,12 @@ def best_params(study: DataFrame, kind: str) -> dict:
 
 
 def rolling_test(kind: str, params: dict, frame: DataFrame, panel: Panel, horizon: int, test_months: list[int], seeds: list[int], budget: Budget = Budget()) -> DataFrame:
-    """Refit before every test month, once per seed: (semilla, planta, sku, o, t, y, p_naive, p, p_rec)."""
-    ready = cut_lineage(with_vector(frame))
-    jobs = [(seed, t) for seed in seeds for t in test_months]
-    models = side_by_side(frame.sparkSession, lambda job: fit(kind, params, ready.where(F.col("t") <= job[1] - horizon), budget, job[0]), jobs)
-    out = None
-    for (seed, t), model in zip(jobs, models, strict=True):
-        rows = predicted(model, ready.where(F.col("o") == t - horizon), "p").select(F.lit(seed).alias("semilla"), "planta", "sku", "o", "t", "y", "p_naive", "p")
-        out = rows if out is None else out.unionByName(rows)
+    """Refit before every test month, once per seed: (semilla, planta, sku, o, t, y, p_naive, p, p_rec). All are fitted at once."""
+    ready = cut_lineage(frame)
+    models = fit_models(ready, [Fit(f"{seed}:{t}", kind, params, t - horizon, seed, budget) for seed in seeds for t in test_months], FEATURES)
+    rows = ready.where(F.col("t").isin(test_months)).withColumn("semilla", F.explode(F.array(*map(F.lit, seeds))))
+    out = forecasts(models, rows.withColumn("group", F.concat_ws(":", "semilla", "t")), FEATURES, [kind])
+    out = cut_lineage(out.select("semilla", "planta", "sku", "o", "t", "y", "p_naive", F.col(kind).alias("p")))
     runs = [reconcile(out.where(F.col("semilla") == seed), panel, horizon, "p", "p_rec") for seed in seeds]
     table = runs[0]
     for run in runs[1:]:

@@ -13,7 +13,7 @@ from caudal.plans.strategies import collect_members, direct_forecast, iterated_f
 from tests.test_panel import shaken
 
 SMALL = Budget(max_trees=3, min_trees=2, rf_trees=3)
-SHALLOW = {k: {"best_params": {"maxDepth": 2}} for k in KINDS}
+SHALLOW = {"lgbm": {"best_params": {"leaves": 4, "min_rows": 5}}, "xgb": {"best_params": {"depth": 2, "min_weight": 1.0}}, "rf": {"best_params": {"depth": 3}}}
 
 
 @pytest.fixture(scope="module")
@@ -59,8 +59,11 @@ def test_samples_stay_in_the_space():
     for kind in KINDS:
         for _ in range(50):
             draw = tn.sample(kind, rng)
-            for name, (low, high, whole, _) in tn.SPACE[kind].items():
-                assert low <= draw[name] <= high and (not whole or draw[name] == int(draw[name]))
+            for name, given in tn.SPACE[kind].items():
+                if isinstance(given, list):
+                    assert draw[name] in given
+                else:
+                    assert given[0] <= draw[name] <= given[1] and (not given[2] or draw[name] == int(draw[name]))
 
 
 def test_production_run(fact, folder, spark):

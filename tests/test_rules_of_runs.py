@@ -10,12 +10,12 @@ from caudal.operators import checks, explore
 from caudal.operators.loading import run_record, run_row
 from caudal.operators.panel import build_panel
 from caudal.operators.tracking import refused, strategy_of
-from caudal.plans.learners import KINDS, Budget, stopping_point
+from caudal.plans.learners import Budget
 from caudal.plans.production import run_prediction
 from caudal.sources.store import Versions
 
 SMALL = Budget(max_trees=3, min_trees=2, rf_trees=3)
-SHALLOW = {k: {"best_params": {"maxDepth": 2}} for k in KINDS}
+SHALLOW = {"lgbm": {"best_params": {"leaves": 4}}, "xgb": {"best_params": {"depth": 2}}, "rf": {"best_params": {"depth": 3}}}
 
 
 def test_two_runs_keep_both_months_without_the_session_setting(spark, fact, folder):
@@ -72,13 +72,6 @@ def test_an_empty_text_suggests_the_first_names(spark):
     assert [r["nombre"] for r in explore.suggest(names, " ", 2).collect()] == ["Alpha", "B"]
 
 
-def test_boosting_stops_fifty_trees_after_the_best():
-    errors = [10.0 - i for i in range(8)] + [5.0] * 30 + [2.5] + [4.0] * 60
-    assert stopping_point(errors) == (39, True)
-    assert stopping_point(errors[:60]) == (39, False)
-    assert stopping_point([3.0, 3.0, 3.0]) == (1, False)
-
-
 def test_refused_forecasts_are_listed(spark, fact):
     forecast = spark.createDataFrame([("r", "2025-05", "A", "SKU0/01/100gsm/2100mm/1200-1450", 1.0), ("r", "2030-01", "A", "SKU0/01/100gsm/2100mm/1200-1450", 1.0)], "run_id string, mes string, planta string, sku string, ml_mean double")
     got = {(r["mes"], r["motivo"]) for r in refused(fact, build_panel(fact), forecast, ["run_id", "mes"]).collect()}

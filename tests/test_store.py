@@ -40,7 +40,7 @@ def test_predictions_overwrite_their_blocks_only(spark, make_fact, folder):
     st.replace_predictions(one.where("sku = 's' and mes_origen = '2024-01'").withColumn("valor", F.lit(9.0)), folder + "/p", plantas, skus, run_id="r")
     got = sorted((r["mes_objetivo"], r["sku"], r["valor"], r["run_id"]) for r in st.read_predictions(spark, folder + "/p").collect())
     assert got == [("2024-02", "s", 9.0, "r"), ("2024-03", "s", 3.0, None)]
-    for bad, text in ((one.unionByName(one), "claves repetidas"), (one.withColumn("valor", F.lit(float("nan"))), "no finitos"), (one.withColumn("sku", F.concat("sku", F.lit("x"))), "unknown"), (one.drop("modelo"), "lack")):
+    for bad, text in ((one.unionByName(one), "claves repetidas"), (one.withColumn("valor", F.lit(float("nan"))), "no finitos"), (one.withColumn("sku", F.concat("sku", F.lit("x"))), "unknown"), (one.drop("modelo"), "no column modelo")):
         with pytest.raises(st.StoreError, match=text):
             st.replace_predictions(bad, folder + "/p", plantas, skus)
     assert st.read_predictions(spark, folder + "/p").count() == 2
