@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from caudal.llm.tables import doc_and
 
-from caudal.llm.words import Rolling, mixed, row_slices, text_bytes, words_of
+from caudal.llm.words import mixed, row_slices, runs_of, text_bytes, words_of
 
 SHARE = 0.2
 SAMPLED = 3  # places of the embedding in one key
@@ -163,12 +163,11 @@ def prepared(ids: list[int], texts: list[str | None], share: float, recall: floa
     keys = np.stack([embedded_keys(symbols, first[:-1], sizes, r) for r in range(int(repetitions.max(initial=0)))] or [np.zeros(len(sizes), np.uint64)])
     grams = {}
     lengths = np.array([run_length(int(n), int(k)) if n else 0 for n, k in zip(sizes, edits, strict=True)])
-    rolling = Rolling.over(symbols, (1,))
     for q in (1, 2, 3):
         own = np.flatnonzero(lengths == q)
         at = np.concatenate([np.arange(first[i], first[i + 1] - q + 1) for i in own] or [np.zeros(0, np.int64)])
         item = np.repeat(own, sizes[own] - q + 1) if len(own) else np.zeros(0, np.int64)
-        both = np.unique(np.stack([rolling.run(at, at + q), item.astype(np.uint64)], axis=1), axis=0)
+        both = np.unique(np.stack([runs_of(symbols, q)[at], item.astype(np.uint64)], axis=1), axis=0)
         grams[q] = (both[:, 0].copy(), both[:, 1].astype(np.int64))
     return Items(ids, symbols, first, edits, repetitions, keys, grams)
 
@@ -176,14 +175,13 @@ def prepared(ids: list[int], texts: list[str | None], share: float, recall: floa
 def hits(items: Items, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each run length: (q, row, item, place) of the runs that items have, sorted."""
     counts = np.diff(first)
-    rolling = Rolling.over(hashes, (1,))
     for q, (known, owners) in items.grams.items():
         if len(known) == 0 or len(hashes) < q:
             continue
         low = (known & np.uint64((1 << 20) - 1)).astype(np.int64)
         seen = np.zeros(1 << 20, bool)
         seen[low] = True
-        grams = rolling.run(np.arange(len(hashes) - q + 1), np.arange(q, len(hashes) + 1))
+        grams = runs_of(hashes, q)
         at = np.flatnonzero(seen[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
         row = np.searchsorted(first, at, side="right") - 1
         inside = at + q <= first[row + 1]

@@ -13,8 +13,11 @@ The boundary is where enumerating subsets begins to cost more rows than the list
 tells. Candidates must agree in size, and no more of the `PROFILE` cells may differ in parity than elements may differ;
 both tests lose nothing. What remains is compared exactly, element by element.
 
-Groups of near copies are not expanded into pairs: of each list first only neighbours are compared, the links found give
-components, and then only pairs from different components are compared. Long lists are dealt out as pairs of blocks.
+Groups of near copies are not expanded into pairs. First only neighbours in a list are compared, a long list being cut into
+blocks; the links found give components. Then rounds: of the members of a list that lie in different components, some
+candidates for each pair of components are compared, `FIRST` at first and more in each further round; links merge components, and a
+round in which no list had more candidates than it may give ends the search. So nothing is left out, and a large group costs
+about as many candidates as it has members. Tables that nothing reads any more are deleted.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; fewer words than a shingle make one
 element; a null doc_id is larger than every number when components are named; repeated rows are linked like copies; an
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.llm.components import components
-from caudal.llm.tables import settled
-from caudal.llm.words import Rolling, mixed, row_slices, signed, sorted_groups, text_bytes, words_of
+from caudal.llm.tables import discard, settled
+from caudal.llm.words import KEYS, MIX, mixed, row_slices, short_runs, signed, sorted_groups, text_bytes, words_of
 
 CELLS = 1 << 20  # of the table of counts: 8 MB, whatever the input
 PART = 4096  # cells in one row while the table is added up
 PROFILE = 1024  # bits of a set's profile: whether a cell has an odd number of elements (tells more than counts in fewer cells)
 BLOCK = 2048  # members of a list that are compared in one group
+FIRST, MORE = 8, 16  # candidates of a list for each pair of components in the first round, and how many times more in the next
 
 
 @dataclass(frozen=True)
@@ -68,12 +73,11 @@ class Sets:
 def sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Sets:
     words = words_of(data, offsets)
     hashes, counts = words.hashes(lower=True), np.diff(words.first)
-    rolling = Rolling.over(hashes, (1,))
     short = np.flatnonzero((counts > 0) & (counts < shingle))
     at = np.flatnonzero(np.arange(len(hashes)) + shingle <= np.repeat(words.first[1:], counts))
     begins = np.concatenate([at, words.first[short]])
     ends = np.concatenate([at + shingle, words.first[short + 1]])
-    elements, row = rolling.run(begins, ends), np.searchsorted(words.first, begins, side="right") - 1
+    elements, row = short_runs(hashes, begins, ends), np.searchsorted(words.first, begins, side="right") - 1
     order, firsts = sorted_groups(row, elements)
     elements, row = elements[order][firsts], row[order][firsts]
     return Sets(elements, row, np.searchsorted(row, np.arange(len(counts) + 1)))
@@ -86,10 +90,12 @@ def set_slices(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, Sets]
 
 
 def set_names(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each set: two polynomials over the sorted elements."""
-    rolling = Rolling.over(sets.elements)
-    low, high = sets.first[:-1], sets.first[1:]
-    return signed(rolling.run(low, high, 0)), signed(rolling.run(low, high, 1))
+    """128 bits for each set: two sums of its elements, each mixed anew."""
+    out = []
+    for key in KEYS:
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(sets.elements * MIX + key), dtype=np.uint64)])
+        out.append(signed(mixed((total[sets.first[1:]] - total[sets.first[:-1]]) ^ sets.sizes.astype(np.uint64))))
+    return out[0], out[1]
 
 
 def cell_of(elements: np.ndarray, cells: int) -> np.ndarray:
@@ -159,16 +165,16 @@ def keys_of(sets: Sets, table: np.ndarray, rule: Rule, boundary: int) -> tuple[n
     listed = (place <= spare) & (sizes[row] * 100 > boundary * rule.percent)  # heavy, or able to link with a heavy set
     keys, rows = [mixed(ordered[listed])], [row[listed]]
     light = np.flatnonzero((sizes <= boundary) & (sizes >= rule.subset))
-    for r in light.tolist():
-        n = int(sizes[r])
-        head = ordered[sets.first[r] : sets.first[r] + min(n, n - rule.needed(n) + rule.subset)]
-        chosen = [(np.zeros(1, np.uint64), np.full(1, -1))]
-        for _ in range(rule.subset):  # each subset in the global order, one element more at a time
-            key, last = chosen[-1]
-            grown = [(mixed(key[last < i] * np.uint64(0x9E3779B97F4A7C15) + head[i]), np.full(int((last < i).sum()), i)) for i in range(len(head))]
-            chosen.append((np.concatenate([g[0] for g in grown]), np.concatenate([g[1] for g in grown])))
-        keys.append(chosen[-1][0])
-        rows.append(np.full(len(chosen[-1][0]), r))
+    heads = np.minimum(sizes[light], sizes[light] - rule.needed(sizes[light]) + rule.subset)
+    for length in np.unique(heads).tolist():  # each subset in the global order
+        some = light[heads == length]
+        head = ordered[sets.first[some][:, None] + np.arange(length)]
+        subsets = np.array(list(combinations(range(length), rule.subset)), dtype=np.int64).reshape(-1, rule.subset)
+        key = np.zeros((len(some), len(subsets)), np.uint64)
+        for i in range(rule.subset):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + head[:, subsets[:, i]])
+        keys.append(key.ravel())
+        rows.append(np.repeat(some, len(subsets)))
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -192,24 +198,44 @@ def profiles(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets.sizes.astype(np.int32)), pa.array([x.tobytes() for x in bits], pa.binary())], ["set_a", "set_b", "text", "size", "profile"])
 
 
-def candidate_pairs(batches: Iterator[pa.RecordBatch], rule: Rule, neighbours: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: (group key, block, set_a, set_b, component_a, component_b, size, profile, side) to pairs that
+def candidate_pairs(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group: (key, block, set_a, set_b, component_a, component_b, size, profile, side) to pairs that
     may be linked. `side` 1 and 2 tell the blocks apart of which one is compared with the other; 0 is one block with itself.
-    A group is held until its last row has come; it has `BLOCK` rows of each side, about."""
+    `most`: how many pairs a group gives for each pair of components (a row of nulls says that one had more); None: neighbours
+    only. A group is held until its last row has come; it has `BLOCK` rows of each side, about."""
     kept: pa.Table | None = None
+    names = ["u_a", "u_b", "v_a", "v_b"]
+
+    def allowed(seen: dict, members: np.ndarray, component: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Which pairs are among the first `most` of their pair of components, and whether one is not. component: a hash with the
+        group; members: how many of the group are in it."""
+        stays = members[i] * members[j] <= most  # so few can't be too many
+        many = np.flatnonzero(~stays)
+        between = mixed(np.minimum(component[i], component[j])[many] ^ mixed(np.maximum(component[i], component[j])[many]))
+        order, firsts = sorted_groups(between)
+        counts = np.diff(np.append(firsts, len(order)))
+        names = between[order][firsts].tolist()
+        before = np.array([seen.get(b, 0) for b in names], dtype=np.int64)
+        rank = np.arange(len(order)) - np.repeat(firsts, counts) + np.repeat(before, counts)
+        seen.update(zip(names, (before + counts).tolist(), strict=True))
+        stays[many[order[rank < most]]] = True
+        return stays, not stays.all()
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         col = {c: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "block", "set_a", "set_b", "size", "side", "component_a", "component_b")}
         bits = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.uint64).reshape(-1, PROFILE // 64)
         new = np.concatenate([[True], (col["key"][1:] != col["key"][:-1]) | (col["block"][1:] != col["block"][:-1])])
         group = np.cumsum(new)
-        at, step, n = np.arange(len(group)), 0, len(group)
+        at, step, n, seen, more = np.arange(len(group)), 0, len(group), {}, False
+        component = mixed(mixed(col["component_a"].view(np.uint64) ^ mixed(col["component_b"].view(np.uint64))) ^ group.astype(np.uint64))
+        _, which, counts = np.unique(component, return_inverse=True, return_counts=True)
+        members = counts[which]
         while len(at):
             step += 1
             at = at[at + step < n]
             at = at[group[at + step] == group[at]]
-            if len(at) == 0 or (neighbours and step > 1):
-                return
+            if len(at) == 0 or (most is None and step > 1):
+                break
             for piece in np.array_split(at, len(at) // 100_000 + 1):
                 to = piece + step
                 ok = (col["side"][piece] == 0) | (col["side"][piece] != col["side"][to])
@@ -220,11 +246,16 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], rule: Rule, neighbours: b
                 differing = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
                 fits = differing * (100 + rule.percent) <= (100 - rule.percent) * (low[ok] + high[ok])
                 i, j = i[fits], j[fits]
+                if most is not None and len(i):
+                    stays, left_out = allowed(seen, members, component, i, j)
+                    i, j, more = i[stays], j[stays], more or left_out
                 if len(i):
                     swap = (col["set_a"][i] > col["set_a"][j]) | ((col["set_a"][i] == col["set_a"][j]) & (col["set_b"][i] > col["set_b"][j]))
                     i, j = np.where(swap, j, i), np.where(swap, i, j)
                     out = np.unique(np.stack([col["set_a"][i], col["set_b"][i], col["set_a"][j], col["set_b"][j]], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(4)], ["u_a", "u_b", "v_a", "v_b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(4)], names)
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4, names)
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -267,33 +298,41 @@ def verified_links(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(lambda b: compare(b, rule), f"u {name}, v {name}")
 
 
-def dealt(entries: DataFrame, lengths: DataFrame) -> DataFrame:
-    """List entries with their group: a list of more than `BLOCK` members is cut into blocks by hash, and each entry goes to
-    every pair of blocks that its own is part of."""
+def in_blocks(entries: DataFrame) -> DataFrame:
+    """List entries, with the number of `members` of their list, and the block of it that they stand in: `BLOCK` members each, by hash."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_b", "set_a"), blocks).cast("int")
-    placed = entries.join(lengths, "key").withColumn("blocks", blocks).withColumn("own", own)
+    return entries.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_b", "set_a"), blocks).cast("int"))
+
+
+def each_block(placed: DataFrame) -> DataFrame:
+    """Every block as a group of its own."""
+    return placed.withColumn("block", F.col("own").cast("long")).withColumn("side", F.lit(0))
+
+
+def block_pairs(placed: DataFrame) -> DataFrame:
+    """Every pair of blocks of a list as a group: each entry goes to those that its own block is part of."""
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     return other.withColumn("block", low.cast("long") * F.col("blocks") + high).withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2))
 
 
-def pairs_in(entries: DataFrame, rule: Rule, neighbours: bool) -> DataFrame:
-    """Candidate pairs of entries that stand in the same group. Blocks are kept together by the shuffle and come sorted."""
+def pairs_in(entries: DataFrame, rule: Rule, most: int | None = None) -> DataFrame:
+    """Candidate pairs of entries that stand in the same group. Groups are kept together by the shuffle and come sorted."""
     columns = ["key", "block", "set_a", "set_b", "component_a", "component_b", "size", "profile", "side"]
     sorted_rows = entries.select(columns).repartition("key", "block").sortWithinPartitions("key", "block", "size", "set_a", "set_b")
-    return sorted_rows.mapInArrow(lambda b: candidate_pairs(b, rule, neighbours), "u_a long, u_b long, v_a long, v_b long").distinct()
+    return sorted_rows.mapInArrow(lambda b: candidate_pairs(b, rule, most), "u_a long, u_b long, v_a long, v_b long").distinct()
 
 
-def set_links(texts: DataFrame, named: DataFrame, rule: Rule, boundary: int | None = None) -> DataFrame:
+def set_links(texts: DataFrame, named: DataFrame, rule: Rule, boundary: int | None = None, first: int = FIRST) -> DataFrame:
     """Links between different sets, enough of them to give the components: (u, v).
     `texts`: doc_id, text_key, text; `named`: settled doc_id, text_key, n_shingles, set_a, set_b."""
     table = count_table(texts, rule)
     boundary = chosen_boundary(table, rule) if boundary is None else boundary
     shared = texts.sparkSession.sparkContext.broadcast(table)  # CELLS numbers, whatever the input
-    entries = settled(texts.select("text").mapInArrow(lambda b: list_entries(b, shared, rule, boundary), "key long, set_a long, set_b long"), "list-entries")
-    several = entries.groupBy("key").agg(F.min(F.struct("set_a", "set_b")).alias("low"), F.max(F.struct("set_a", "set_b")).alias("high")).where("low <> high").select("key")
-    entries = settled(entries.join(settled(several, "long-lists"), "key").distinct(), "shared-entries")
+    listed = settled(texts.select("text").mapInArrow(lambda b: list_entries(b, shared, rule, boundary), "key long, set_a long, set_b long"), "list-entries")
+    several = listed.groupBy("key").agg(F.min(F.struct("set_a", "set_b")).alias("low"), F.max(F.struct("set_a", "set_b")).alias("high")).where("low <> high").select("key")
+    entries = settled(listed.join(settled(several, "long-lists"), "key").distinct(), "shared-entries")
+    discard(listed)
     # One text for each set that stands in a list with others.
     stands = named.groupBy("set_a", "set_b").agg(F.min(F.struct(F.struct("doc_id").alias("id"), "text_key")).alias("doc")).join(entries.select("set_a", "set_b").distinct(), ["set_a", "set_b"])
     keyed = stands.select("set_a", "set_b", "doc.id", "doc.text_key")
@@ -301,31 +340,36 @@ def set_links(texts: DataFrame, named: DataFrame, rule: Rule, boundary: int | No
     profiled = settled(chosen.mapInArrow(lambda b: profiles(b, rule), "set_a long, set_b long, text string, size int, profile binary"), "set-texts")
     held = profiled.select("set_a", "set_b", "text")
     members = settled(entries.join(profiled.drop("text"), ["set_a", "set_b"]), "list-members")
-    lengths = settled(members.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "list-lengths")
+    discard(entries)
+    lengths = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     alone = members.withColumn("component_a", F.col("set_a")).withColumn("component_b", F.col("set_b"))
-    near = settled(pairs_in(dealt(alone, lengths), rule, neighbours=True), "neighbour-pairs")
-    first = settled(verified_links(near, held, rule), "neighbour-links")
-    labels = components(first)
-    label = labels.select(F.col("node.a").alias("set_a"), F.col("node.b").alias("set_b"), F.col("component.a").alias("component_a"), F.col("component.b").alias("component_b"))
-    labelled = settled(
-        members.join(label, ["set_a", "set_b"], "left").withColumn("component_a", F.coalesce("component_a", "set_a")).withColumn("component_b", F.coalesce("component_b", "set_b")), "labelled-members",
-    )
-    component = F.struct("component_a", "component_b")
-    mixed_lists = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(component).alias("low"), F.max(component).alias("high")).where("low <> high").select("key", "members")
-    rest = pairs_in(dealt(labelled, settled(mixed_lists, "mixed-lists")), rule, neighbours=False)
-    # A pair of neighbours has been compared already.
-    rest = settled(rest.join(near, ["u_a", "u_b", "v_a", "v_b"], "left_anti"), "further-pairs")
-    second = verified_links(rest, held, rule)
-    return labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second)
-
-
-def near_duplicates(docs: DataFrame, rule: Rule = Rule(), boundary: int | None = None) -> DataFrame:
+    tested = settled(pairs_in(each_block(in_blocks(alone.join(lengths, "key"))), rule), "neighbour-pairs")
+    links = settled(verified_links(tested, held, rule), "neighbour-links")
+    most = first
+    while True:
+        labels = components(links)
+        label = labels.select(F.col("node.a").alias("set_a"), F.col("node.b").alias("set_b"), F.col("component.a").alias("component_a"), F.col("component.b").alias("component_b"))
+        labelled = members.join(label, ["set_a", "set_b"], "left").withColumn("component_a", F.coalesce("component_a", "set_a")).withColumn("component_b", F.coalesce("component_b", "set_b"))
+        component = F.struct("component_a", "component_b")
+        both = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(component).alias("low"), F.max(component).alias("high")).where("low <> high").select("key", "members")
+        # Only lists that two components share go on, into this round and the next ones.
+        members = settled(labelled.join(settled(both, "mixed-lists"), "key").select(*labelled.columns, "members"), "mixed-members")
+        found = settled(pairs_in(block_pairs(in_blocks(members)), rule, most), "further-pairs")
+        members = members.drop("component_a", "component_b", "members")
+        fresh = settled(found.where("u_a is not null").join(tested, ["u_a", "u_b", "v_a", "v_b"], "left_anti"), "untested-pairs")
+        links = settled(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verified_links(fresh, held, rule)), "links")
+        if found.where("u_a is null").isEmpty():
+            return links
+        tested, most = settled(tested.unionByName(fresh), "tested-pairs"), most * MORE
+
+
+def near_duplicates(docs: DataFrame, rule: Rule = Rule(), boundary: int | None = None, first: int = FIRST) -> DataFrame:
     """(doc_id, text_key, n_shingles, component, component_id): one row per document. `component` names its component (null
     for an empty set), component_id is the smallest doc_id that links reach."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     named = settled(texts.mapInArrow(lambda b: name_sets(b, rule), "doc_id long, text_key long, n_shingles long, set_a long, set_b long"), "named-sets")
     there = named.where("n_shingles > 0")
-    links = set_links(texts, there, rule, boundary)
+    links = set_links(texts, there, rule, boundary, first)
     labels = components(links)
     name = F.struct(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
     # Per set first, then per component: no group of copies is gathered anywhere.

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.llm.tables import doc_and, settled
-from caudal.llm.words import Rolling, mixed, row_slices, signed, text_bytes, words_of
+from caudal.llm.words import Rolling, mixed, row_slices, runs_of, signed, text_bytes, words_of
 
 WINDOW = 50
 ANCHOR = 16
@@ -48,22 +48,22 @@ def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
     return joined(width - size) if width > size else at
 
 
-def phrases(first: np.ndarray, hashes: np.ndarray, window: int, anchor: int) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray]:
-    """The phrases of the rows whose words begin at `first`: place of the anchor, first and last window start."""
-    rolling = Rolling.over(hashes)
-    n, none = len(hashes), np.zeros(0, np.int64)
+def phrases(first: np.ndarray, hashes: tuple[np.ndarray, np.ndarray], window: int, anchor: int) -> tuple[np.ndarray, Rolling, np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases of the rows whose words begin at `first`: hashes of all runs of anchor length, polynomial sums over the words, and of each phrase the place of the
+    anchor, first and last window start."""
+    rolling, grams = Rolling.over(hashes[1]), runs_of(hashes[0], anchor)
+    n, none = len(hashes[0]), np.zeros(0, np.int64)
     if n < window:
-        return rolling, none, none, none
-    grams = rolling.run(np.arange(n - anchor + 1), np.arange(anchor, n + 1))
+        return grams, rolling, none, none, none
     picked = leftmost_least(grams, window - anchor + 1)
     lengths = np.diff(first)
     starts = np.flatnonzero(np.arange(n) + window <= np.repeat(first[1:], lengths))  # windows inside one row
     if len(starts) == 0:
-        return rolling, none, none, none
+        return grams, rolling, none, none, none
     places = picked[starts]
     new = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     last = np.concatenate([new[1:], [len(starts)]]) - 1
-    return rolling, places[new], starts[new], starts[last]
+    return grams, rolling, places[new], starts[new], starts[last]
 
 
 def read_phrases(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
@@ -73,11 +73,11 @@ def read_phrases(batches: Iterator[pa.RecordBatch], window: int, anchor: int) ->
         ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         for a, b in row_slices(offsets):
             words = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            rolling, place, start, last = phrases(words.first, words.hashes(), window, anchor)
+            grams, rolling, place, start, last = phrases(words.first, (words.hashes(), words.hashes(key=1)), window, anchor)
             row = np.searchsorted(words.first, start, side="right") - 1
-            whole = rolling.run(start, last + window, part=1) ^ mixed((place - start).astype(np.uint64))
+            whole = rolling.run(start, last + window) ^ mixed((place - start).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([
-                pa.array(signed(rolling.run(place, place + anchor))), pa.array(signed(whole)), pa.array(ids[a + row].astype(np.int64)), pa.array(keys[a + row].astype(np.int64)),
+                pa.array(signed(grams[place])), pa.array(signed(whole)), pa.array(ids[a + row].astype(np.int64)), pa.array(keys[a + row].astype(np.int64)),
                 pa.array((start - words.first[row]).astype(np.int32)), pa.array((last - words.first[row]).astype(np.int32)),
             ], ["anchor", "phrase", "doc_id", "text_key", "start", "last"])
 
@@ -94,7 +94,7 @@ def read_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
         begins = np.concatenate([[0], np.cumsum(counts)])
         for a, b in row_slices(offsets):
             words = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            rolling = Rolling.over(words.hashes())
+            names = [runs_of(words.hashes(key=k), window) for k in (0, 1)]
             sizes = high[begins[a] : begins[b]] - low[begins[a] : begins[b]] + 1
             row = np.repeat(np.arange(b - a), counts[a:b])
             within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -102,7 +102,7 @@ def read_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             row = np.repeat(row, sizes)
             at = words.first[row] + start
             yield pa.RecordBatch.from_arrays([
-                pa.array(signed(rolling.run(at, at + window, 0))), pa.array(signed(rolling.run(at, at + window, 1))),
+                *[pa.array(signed(x[at])) for x in names],
                 pa.array(np.array(ids[a:b], np.int64)[row]), pa.array(np.array(keys[a:b], np.int64)[row]), pa.array(start.astype(np.int32)),
             ], ["window_a", "window_b", "doc_id", "text_key", "start"])
 

@@ -30,6 +30,15 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Gives the disk of a settled table back. Only for one that nothing reads any more: what was made from it is settled too."""
+    files = df.inputFiles()
+    if files:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def numbered(df: DataFrame, name: str = "row") -> DataFrame:
     """A distinct number for each row, so that repeated rows can be told apart. Settle the result before using it twice."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -147,6 +147,44 @@ def test_jaccard_long_lists_in_blocks(make_docs, monkeypatch):
     assert Counter(map(tuple, got)) == brute_components(rows, Rule())
 
 
+@pytest.mark.parametrize("first", [1, 10**9])
+def test_jaccard_rounds(make_docs, first):
+    """Few candidates at first, more in later rounds: the same components as with all candidates at once."""
+    rng = random.Random(9)
+    rows = family(rng, 50, 60, 1) + family(rng, 40, 33, 500) + [(900 + i, t) for i, (_, t) in enumerate(half_alike(rng, 40))]
+    rng.shuffle(rows)
+    got = near_duplicates(make_docs(rows), Rule(), first=first).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == brute_components(rows, Rule())
+
+
+def half_alike(rng, size):
+    """Texts that share most words but not enough of them to be linked."""
+    base = sentence(rng, 120).split()
+    return [(i, " ".join(w if k % 9 else f"own{i}x{k}" for k, w in enumerate(base))) for i in range(size)]
+
+
+def test_candidates_grow_with_the_group_only(make_docs, monkeypatch):
+    """Candidate rows of one group of near copies, n and 5n of them: at most in proportion."""
+    import caudal.llm.jaccard as jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    whole, rows = jaccard.settled, []
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name in ("neighbour-pairs", "further-pairs"):
+            rows[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "settled", counted)
+    base = sentence(random.Random(3), 200).split()
+    for n in (100, 500):
+        rows.append(0)
+        docs = make_docs([(i, " ".join(f"new{i}" if k == i % 200 else w for k, w in enumerate(base))) for i in range(n)])
+        assert near_duplicates(docs, Rule()).select("component_id").distinct().count() == 1
+    assert rows[1] <= 6 * rows[0], rows
+
+
 def test_one_of_each(make_docs):
     rng = random.Random(6)
     rows = family(rng, 20, 80, 100) + [(1, ""), (2, None), (3, "few words"), (3, "few words")]
