@@ -1,4 +1,10 @@
-"""From raw documents to tokens: five stages, each on all that the one before has kept."""
+"""From raw documents to tokens: five stages, each on all that the one before has kept.
+
+Defined results, of every stage: a null text counts as empty and is neither near another nor contaminated; rows with the same doc_id are told
+apart by their text, and rows equal in both count as one from the dedup stages on; ties go to the smallest doc_id, null last; texts of any
+length are read whole; an empty table gives an empty table. Further columns pass through all stages; in the last one a column that has
+the name of one of its results (`ADDED`) gives way to it.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +19,7 @@ from caudal.llm.jaccard import Rule, one_of_each
 from caudal.llm.quality import quality_scores
 from caudal.llm.tables import settled, table
 
+ADDED = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
 NEAR = Rule(shingle=5, percent=80)
 
 
@@ -38,7 +45,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids."""
-    return encode(docs, tokenizer_path(), with_ids=True).select("doc.*", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    own = [f"doc.`{c}`" for c in docs.columns if c.lower() not in ADDED]
+    return encode(docs, tokenizer_path(), with_ids=True).select(*own, *ADDED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
