@@ -8,7 +8,7 @@ from calendar import monthrange
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caudal.catalog.domain import MEMBERS, brand, closed, closed_panel, consumption, frame, members, open_panel, shared, written_once
+from caudal.catalog.domain import MEMBERS, OPEN, brand, closed, closed_panel, consumption, frame, members, open_panel, shared, written_once
 from caudal.catalog.registry import cte, query, r, rounded, with_
 from caudal.catalog.scoring import combined
 from caudal.functions.skus import column_month, header_month
@@ -21,21 +21,6 @@ from caudal.sources import store as st
 # ---- exports -------------------------------------------------------------------------------------------------------------
 
 
-def last_month_rows(spark, sf) -> DataFrame:
-    panel = closed_panel(spark, sf)
-    year, month = map(int, panel.label_of(panel.last_mi).split("-"))
-    return closed(spark, sf).where(F.col("fecha").between(F.lit(dt.date(year, month, 1)), F.lit(dt.date(year, month, monthrange(year, month)[1]))))  # a range reaches the scan
-
-
-def wide_export(spark, sf) -> DataFrame:
-    """The last closed month as one column per day, with zeros, corrections below zero, a spacer and a subtotal row."""
-    rows = last_month_rows(spark, sf).withColumn("d", F.date_format("fecha", "dd.MM.yyyy"))
-    panel = closed_panel(spark, sf)
-    label = panel.label_of(panel.last_mi)
-    days = [f"{k:02d}.{label[5:]}.{label[:4]}" for k in range(1, monthrange(int(label[:4]), int(label[5:]))[1] + 1)]
-    return with_total(rows.groupBy("planta", "sku").pivot("d", days).agg(F.sum(F.col("consumo") - 20.0)), days)
-
-
 def with_total(wide: DataFrame, days: list[str]) -> DataFrame:
     """A spacer column and the subtotal row of an export."""
     wide = wide.withColumn("#", F.lit(None).cast("double"))
@@ -43,21 +28,8 @@ def with_total(wide: DataFrame, days: list[str]) -> DataFrame:
     return wide.unionByName(total)
 
 
-cte("lastm", ("closed",), "select * from closed where date_trunc('month', fecha) = (select date_trunc('month', max(fecha)) from closed)")
-
-
-@query("wide_export_long", with_("lastm", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from lastm"))
-def wide_export_long(spark, sf):
-    return ex.read_export(wide_export(spark, sf))
-
-
-@query("wide_export_without_zeros", with_("lastm", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from lastm where consumo <> 20"))
-def wide_export_without_zeros(spark, sf):
-    return ex.read_export(wide_export(spark, sf), drop_zeros=True)
-
-
 def every_wide_export(spark, sf, drop_zeros: bool = False) -> DataFrame:
-    """All closed months, in a wide export for each year: one column per day, subtotal row and spacer as in `wide_export`."""
+    """All closed months, in a wide export for each year: one column per day, corrections below zero, subtotal row and spacer."""
     panel = closed_panel(spark, sf)
     first, last = closed(spark, sf).agg(F.min("fecha"), F.max("fecha")).first()
     year, month = map(int, panel.label_of(panel.last_mi).split("-"))
@@ -72,11 +44,13 @@ def every_wide_export(spark, sf, drop_zeros: bool = False) -> DataFrame:
     return out
 
 
+@query("wide_export_long", with_("closed", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from closed"))
 @query("wide_export_long_every_month", with_("closed", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from closed"))
 def wide_export_long_every_month(spark, sf):
     return every_wide_export(spark, sf)
 
 
+@query("wide_export_without_zeros", with_("closed", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from closed where consumo <> 20"))
 @query("wide_export_without_zeros_every_month", with_("closed", "select planta, sku, fecha, greatest(consumo - 20, 0) as consumo from closed where consumo <> 20"))
 def wide_export_without_zeros_every_month(spark, sf):
     return every_wide_export(spark, sf, drop_zeros=True)
@@ -325,7 +299,16 @@ def cache_alignment(spark, sf):
     return ld.alignment_problems(moved, closed_panel(spark, sf)).groupBy("planta").agg(F.count(F.lit(1)).alias("desalineadas"))
 
 
-@query("fingerprints")
+def _mark_sql(*keys: str, number: str) -> str:
+    """The mark of all rows as `multiset_mark` makes it."""
+    text = " || '|' || ".join([*keys, f"cast(round({number} * 1000000) as bigint)"])
+    pieces = [f"cast(coalesce(sum(cast('0x' || substr(md5({text}), {1 + 15 * k}, 15) as hugeint)) % {ld.MARK_PRIME}, 0) as varchar)" for k in (0, 1)]
+    return " || '-' || ".join(pieces)
+
+
+@query("fingerprints", with_("consumption monthly cal", f"""
+select count(*) as filas, round(sum(consumo), 6) as total, {_mark_sql('planta', 'sku', "strftime(fecha, '%Y-%m-%d')", number='consumo')} as huella, 'consumo' as tabla from consumption
+union all select count(*), round(sum(y), 6), {_mark_sql('planta', 'sku', 'c.mes', number='y')}, 'panel' from monthly m join cal c on c.mi = m.mi""", **OPEN))
 def fingerprints(spark, sf):
     fact = ld.fingerprint(consumption(spark, sf)).withColumn("tabla", F.lit("consumo"))
     return fact.unionByName(ld.panel_fingerprint(open_panel(spark, sf)).withColumn("tabla", F.lit("panel")))

@@ -158,10 +158,9 @@ def tracking_history(spark, sf):
     return tr.history(rows(spark, sf))
 
 
-@query("strategy_comparison", with_("hist", f"select estrategia, origen, count(*) as meses, {', '.join(r(f'avg({level})', level) for level in LEVELS)} from hist group by 1, 2"))
+@query("strategy_comparison", with_("hist", f"select estrategia, origen, count(*) as meses, {', '.join(f'round_even(avg({level}), 1) as {level}' for level in LEVELS)} from hist group by 1, 2"))
 def strategy_comparison(spark, sf):
-    found = tr.history(rows(spark, sf))
-    return rounded(found.groupBy("estrategia", "origen").agg(F.count(F.lit(1)).alias("meses"), *[F.avg(level).alias(level) for level in LEVELS]))
+    return tr.strategy_comparison(tr.history(rows(spark, sf)))
 
 
 @query("tracking_production_rows", with_("tr", f"select estrategia, count(*) as filas from tr where not starts_with(run_id, 'backtest-') and {_SHOWN} group by 1"))

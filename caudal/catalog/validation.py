@@ -167,16 +167,14 @@ def check_sku_format(spark, sf):
     return checks.sku_format(good(spark, sf))
 
 
-_COUNTS = " union all ".join(
-    f"select '{severity}' as severity, '{code}' as code, count(*) as n from ({sql})"
-    for severity, code, sql in (
-        ("error", "missing", _MISSING), ("error", "negative", "select * from good where consumo < 0"), ("error", "duplicate", _DUPLICATE),
-        ("error", "keys", "select * from good where planta <> upper(trim(planta)) or sku <> trim(sku)"), ("error", "near_duplicate_keys", _NEAR),
-        ("error", "month_gap", _MONTH_GAP), ("error", "day_gap", _DAY_GAP), ("error", "last_month", _LAST.format("good")),
-        ("warning", "daily_peak", "select * from good where consumo > 100"), ("warning", "spike", _SPIKE), ("warning", "rows_drop", _ROWS_DROP),
-        ("warning", "planta_set", _PLANTAS), ("warning", "sku_format", _FORMAT),
-    )
+_RULES = (
+    ("error", "missing", _MISSING), ("error", "negative", "select * from good where consumo < 0"), ("error", "duplicate", _DUPLICATE),
+    ("error", "keys", "select * from good where planta <> upper(trim(planta)) or sku <> trim(sku)"), ("error", "near_duplicate_keys", _NEAR),
+    ("error", "month_gap", _MONTH_GAP), ("error", "day_gap", _DAY_GAP), ("error", "last_month", _LAST.format("good")),
+    ("warning", "daily_peak", "select * from good where consumo > 100"), ("warning", "spike", _SPIKE), ("warning", "rows_drop", _ROWS_DROP),
+    ("warning", "planta_set", _PLANTAS), ("warning", "sku_format", _FORMAT),
 )
+_COUNTS = " union all ".join(f"select '{severity}' as severity, '{code}' as code, count(*) as n from ({sql})" for severity, code, sql in _RULES)
 
 
 @query("check_summary", with_("good", f"select * from ({_COUNTS}) where n > 0"))
@@ -184,16 +182,26 @@ def check_summary(spark, sf):
     return checks.summary(checks.violations(damaged(spark, sf), Limits(require_complete_last_month=True)))
 
 
-@query("check_examples", with_("good", """
-select code, planta, sku, fecha, consumo, orden::int as orden
-from (select *, row_number() over (partition by code order by planta, sku, fecha, consumo) as orden
-      from (select 'negative' as code, * from good where consumo < 0 union all select 'daily_peak', * from good where consumo > 100))
+# Every finding of every code with the columns that its rule has.
+_FOUND = " union all by name ".join(f"select '{code}' as code, * from ({sql})" for _, code, sql in _RULES)
+
+
+@query("check_examples", with_("good", f"""
+select code, planta, sku, cast(fecha as date) as fecha, cast(consumo as double) as consumo, orden::int as orden
+from (select *, row_number() over (partition by code order by planta nulls last, sku nulls last, fecha nulls last, consumo nulls last) as orden from ({_FOUND}))
 where orden <= 5"""))
 def check_examples(spark, sf):
-    found = checks.violations(damaged(spark, sf)).where(F.col("code").isin("negative", "daily_peak"))
+    """The first findings of every code."""
+    found = checks.violations(damaged(spark, sf), Limits(require_complete_last_month=True))
     return checks.examples(found).select("code", "planta", "sku", "fecha", "consumo", "orden")
 
 
+@query("check_duplicate_surplus", with_("good", """
+select count(*) as claves, coalesce(sum(n), 0)::bigint as filas, coalesce(sum(n - 1), 0)::bigint as sobrantes from (select count(*) as n from good group by planta, sku, fecha having count(*) > 1)"""))
+def check_duplicate_surplus(spark, sf):
+    return checks.duplicate_surplus(good(spark, sf))
+
+
 @query("sunday_rows", with_("good", "select * from good where isodow(fecha) = 7"))
 def sunday_rows(spark, sf):
     from caudal.operators.panel import sunday_rows as rows

@@ -103,6 +103,13 @@ def duplicate(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return df.join(repeated, KEY).select(*REQUIRED, "copias")
 
 
+def duplicate_surplus(df: DataFrame) -> DataFrame:
+    """One row: claves (keys that are held more than once), filas (rows with them) and sobrantes (rows beyond the first of each)."""
+    copies = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    rows = F.coalesce(F.sum("n"), F.lit(0))
+    return copies.agg(F.count(F.lit(1)).alias("claves"), rows.alias("filas"), (rows - F.count(F.lit(1))).alias("sobrantes"))
+
+
 def near_duplicate_keys(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Distinct (planta, sku) pairs that are equal after folding case and spaces."""
     pairs = df.select(*SERIES).distinct()
@@ -304,4 +311,4 @@ def check_last_month_complete(df: DataFrame) -> None:
     """Stop when the last month of the table is not finished."""
     left = last_month(df).agg(F.count(F.lit(1)).alias("n"), F.max("ultimo").alias("last")).first()
     if left["n"]:
-        raise InputError(f"The last month is incomplete: the data ends on {left['last']} and {left['n']} working days are missing.")
+        raise InputError(f"{left['n']} working days are still to come in the month of {left['last']}, the latest day of the table")

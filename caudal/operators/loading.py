@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caudal.functions.dates import month_label, month_number
@@ -66,20 +66,37 @@ def review_findings(summary: DataFrame, policy: str = "detener") -> DataFrame:
 # ---- fingerprints --------------------------------------------------------------------------------------------------------
 
 
+MARK_PRIME = (1 << 61) - 1
+
+
+def multiset_mark(text: Column) -> Column:
+    """A mark of the rows whatever their order: two 60-bit numbers from the MD5 of each row's text, added up modulo a prime. Equal rows add up and
+    don't cancel out; the marks of two tables add up to that of their union, so a load can carry one on."""
+    digest = F.md5(text.cast("binary"))
+    parts = [F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)") for k in (0, 1)]
+    return F.concat_ws("-", *[F.coalesce(F.sum(p) % F.lit(MARK_PRIME).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).cast("string") for p in parts])
+
+
+def row_text(number: Column, *keys: Column) -> Column:
+    """A row as text, its number in millionths; a null has a text of its own."""
+    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in (*keys, F.round(number * 1_000_000).cast("long"))])
+
+
+def merged_marks(one: str, two: str) -> str:
+    """The mark of two tables together."""
+    return "-".join(str((int(a) + int(b)) % MARK_PRIME) for a, b in zip(one.split("-"), two.split("-"), strict=True))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """(filas, total, huella) of a fact: independent of row order and of partitioning, one pass without a sort."""
-    return df.agg(
-        F.count(F.lit(1)).alias("filas"), F.round(F.sum("consumo"), 6).alias("total"),
-        F.coalesce(F.bit_xor(F.xxhash64("planta", "sku", F.col("fecha").cast("string"), F.round("consumo", 6))), F.lit(0)).alias("huella"),
-    )
+    text = row_text(F.col("consumo"), F.col("planta"), F.col("sku"), F.date_format("fecha", "yyyy-MM-dd"))
+    return df.agg(F.count(F.lit(1)).alias("filas"), F.round(F.sum("consumo"), 6).alias("total"), multiset_mark(text).alias("huella"))
 
 
 def panel_fingerprint(panel: Panel) -> DataFrame:
     """The same of the monthly panel: series, months and rounded totals."""
-    return panel.known().agg(
-        F.count(F.lit(1)).alias("filas"), F.round(F.sum("y"), 6).alias("total"),
-        F.coalesce(F.bit_xor(F.xxhash64("planta", "sku", "ym", F.round("y", 6))), F.lit(0)).alias("huella"),
-    )
+    text = row_text(F.col("y"), F.col("planta"), F.col("sku"), panel.label(F.col("mi")))
+    return panel.known().agg(F.count(F.lit(1)).alias("filas"), F.round(F.sum("y"), 6).alias("total"), multiset_mark(text).alias("huella"))
 
 
 def check_meta(stored: dict, expected: dict, keys: list[str] | None = None) -> None:

@@ -123,7 +123,7 @@ def threshold(strategy: Column, key: str) -> Column:
 
 
 def find_alerts(scores: DataFrame, by: list[str] | None = None, strategy: Column | None = None) -> DataFrame:
-    """(by, codigo, tipo, nivel, planta, valor, umbral): strictly below a threshold fires, equal does not."""
+    """One row for each accuracy of the mean forecast that does not reach its threshold: (by, codigo, tipo, nivel, planta, valor, umbral)."""
     by = by or ["mes"]
     strategy = strategy if strategy is not None else (F.col("estrategia") if "estrategia" in scores.columns else F.lit("h1"))
     ml = scores.where(F.col("modelo") == "ml_mean").withColumn("_s", strategy)

@@ -168,17 +168,18 @@ class Tree:
                 return node
             node = after
 
-    def grow(self, node: int, feature: int, threshold: int, missing_left: bool, members: np.ndarray | None) -> tuple[int, int]:
-        child = len(self.feature)
-        self.feature = np.append(self.feature, [-1, -1]).astype(np.int32)
-        for name in ("threshold", "left"):
-            setattr(self, name, np.append(getattr(self, name), [0, 0]).astype(np.int32))
-        self.missing_left = np.append(self.missing_left, [False, False])
-        self.value = np.append(self.value, [0.0, 0.0])
-        self.feature[node], self.threshold[node], self.missing_left[node], self.left[node] = feature, threshold, missing_left, child
-        if members is not None:
-            self.members[node] = members
-        return child, child + 1
+    def grow(self, nodes: np.ndarray, splits: Splits, which: np.ndarray, values: np.ndarray) -> list[int]:
+        """`nodes` become inner nodes with the splits `which`; values: (nodes, 2) of their children. The new nodes, pair by pair."""
+        first, many = len(self.feature), 2 * len(nodes)
+        self.feature = np.concatenate([self.feature, np.full(many, -1, np.int32)])
+        for name in ("threshold", "left", "missing_left"):
+            own = getattr(self, name)
+            setattr(self, name, np.concatenate([own, np.zeros(many, own.dtype)]))
+        self.value = np.concatenate([self.value, values.ravel()])
+        self.feature[nodes], self.threshold[nodes], self.missing_left[nodes] = splits.feature[which], splits.threshold[which], splits.missing_left[which]
+        self.left[nodes] = first + 2 * np.arange(len(nodes))
+        self.members.update({int(n): splits.members[k] for n, k in zip(nodes, which, strict=True) if splits.members[k] is not None})
+        return list(range(first, first + many))
 
 
 @dataclass
@@ -191,6 +192,11 @@ class Splits:
     sums: np.ndarray  # (nodes, 2): gradient and hessian
     children: np.ndarray  # (nodes, 2, 2): of the left and of the right child
 
+    @classmethod
+    def joined(cls, parts: list[Splits]) -> Splits:
+        whole = {n: np.concatenate([getattr(p, n) for p in parts]) for n in ("gain", "feature", "threshold", "missing_left", "sums", "children")}
+        return cls(**whole, members=[m for p in parts for m in p.members])
+
 
 def best_splits(fit: Fit, hist: np.ndarray, allowed: np.ndarray, category: int | None, share: float) -> Splits:
     """The best split of each node. hist: (2, features, nodes, WIDTH); `share`: rows over hessian, from which the rows of a child are
@@ -293,18 +299,14 @@ def one_tree(phase: Phase, number: int, features: int, category: int | None, row
             for a in range(0, hist.shape[2], CHUNK):
                 part, at = hist[:, :, a : a + CHUNK], asked + a
                 splits = best_splits(fit, part, allowed[at : at + CHUNK], category, share)
-                if level == 0:
-                    tree.value[0] = leaf_value(fit, splits.sums[:, 0], splits.sums[:, 1])[0]
-                found += [(splits.gain[k], at + k, splits, k) for k in range(part.shape[2]) if splits.gain[k] > max(LEAST_GAIN, fit.params.get("gain", 0.0))]
-        found.sort(key=lambda x: (-x[0], x[1]))
-        chosen = sorted(found[: most - leaves], key=lambda x: x[1])
-        below = []
-        for _, at, s, k in chosen:
-            pair = tree.grow(nodes[at], int(s.feature[k]), int(s.threshold[k]), bool(s.missing_left[k]), s.members[k])
-            for child, own in zip(pair, s.children[k], strict=True):
-                tree.value[child] = leaf_value(fit, own[0], own[1])
-            below += pair
-        leaves += len(chosen)
+                found.append(splits)
+        splits = Splits.joined(found)
+        if level == 0:
+            tree.value[0] = leaf_value(fit, splits.sums[:, 0], splits.sums[:, 1])[0]
+        which = np.flatnonzero(splits.gain > max(LEAST_GAIN, fit.params.get("gain", 0.0)))
+        which = np.sort(which[np.argsort(-splits.gain[which], kind="stable")][: most - leaves])
+        below = tree.grow(np.array(nodes)[which], splits, which, leaf_value(fit, splits.children[which, :, 0], splits.children[which, :, 1])) if len(which) else []
+        leaves += len(which)
         nodes, level = below, level + 1
     return tree
 

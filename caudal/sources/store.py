@@ -183,7 +183,7 @@ def replace_predictions(preds: DataFrame, path: str, plantas: DataFrame, skus: D
         raise StoreError("; ".join(f"{row['problema']}: {row['n']}" for row in problems))
     unknown = unknown_dims(preds, plantas, skus).limit(5).collect()
     if unknown:
-        raise StoreError(f"unknown plantas or skus, load the consumption first: {[row['nombre'] for row in unknown]}")
+        raise StoreError(f"unknown names, not in the star schema: {', '.join(row['nombre'] for row in unknown)}")
     stamp = created_at if created_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     rows = preds.select(*PREDICTION_KEY, "valor", stamp.alias("creado_en"), F.lit(run_id).cast("string").alias("run_id"))
     rows.hint("rebalance", *BLOCK).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*BLOCK).parquet(path)

@@ -1,7 +1,7 @@
 import datetime as dt
-import math
 import random
 import tempfile
+from calendar import monthrange
 
 import pytest
 
@@ -21,26 +21,26 @@ def folder():
     return tempfile.mkdtemp(prefix="caudal-test-")
 
 
-def make_rows(months: int = 30, seed: int = 3, extra: bool = False) -> list[tuple]:
-    """3 plantas x 4 SKUs, no Sundays, a yearly sine, about 70% of the days active, every fifth series starts late."""
+PLANTAS = {"NORTE": 2.0, "OESTE": 5.5, "PUERTO": 9.0, "VALLE": 3.5}
+GRADES = ["G10/01/90gsm/1800mm/KRAFT", "G20/02/140gsm/1800mm/KRAFT", "G30/01/200gsm/2400mm/LINER"]
+LATE = {("OESTE", 2): 9, ("VALLE", 0): 14}  # series that begin so many months later
+
+
+def make_rows(months: int = 30, seed: int = 11) -> list[tuple]:
+    """Four plantas by three grades over working days from January 2023 on: a level for each planta, more in the second half of a
+    month, a slow rise, and a grade that is only bought on some days of the week."""
     rng = random.Random(seed)
-    start = dt.date(2023, 1, 2)
-    year, month = divmod(months, 12)
-    end = dt.date(2023 + year, month + 1, 1)
-    rows, number = [], 0
-    for planta in "ABC":
-        for k in range(4):
-            number += 1
-            first = 250 if number % 5 == 0 else 0
-            for offset in range(first, (end - start).days):
-                day = start + dt.timedelta(days=offset)
-                if day.weekday() == 6 or rng.random() > 0.7:
-                    continue
-                level = (3 + k) * (1 + 0.3 * math.sin(2 * math.pi * day.timetuple().tm_yday / 365))
-                value = round(max(rng.gauss(level, 1.5), 0.5), 1)
-                rows.append((planta, f"SKU{k}/01/100gsm/2100mm/1200-1450", day, value))
-    if extra:
-        rows.append(("A", "AAA/01/100gsm/2100mm", dt.date(2024, 5, 3), 4.0))
+    rows = []
+    for planta, level in PLANTAS.items():
+        for k, sku in enumerate(GRADES):
+            for m in range(LATE.get((planta, k), 0), months):
+                year, month = 2023 + m // 12, m % 12 + 1
+                for number in range(1, monthrange(year, month)[1] + 1):
+                    day = dt.date(year, month, number)
+                    if day.weekday() == 6 or (day.weekday() + k) % 3 == 0 and rng.random() < 0.8:
+                        continue
+                    amount = level * (1 + k / 2) * (1.0 if number <= 15 else 1.25) * (1 + m / 60)
+                    rows.append((planta, sku, day, round(amount * rng.uniform(0.7, 1.4), 1)))
     return rows
 
 

@@ -73,7 +73,7 @@ def test_an_empty_text_suggests_the_first_names(spark):
 
 
 def test_refused_forecasts_are_listed(spark, fact):
-    forecast = spark.createDataFrame([("r", "2025-05", "A", "SKU0/01/100gsm/2100mm/1200-1450", 1.0), ("r", "2030-01", "A", "SKU0/01/100gsm/2100mm/1200-1450", 1.0)], "run_id string, mes string, planta string, sku string, ml_mean double")
+    forecast = spark.createDataFrame([("r", "2025-05", "NORTE", "G10/01/90gsm/1800mm/KRAFT", 1.0), ("r", "2030-01", "NORTE", "G10/01/90gsm/1800mm/KRAFT", 1.0)], "run_id string, mes string, planta string, sku string, ml_mean double")
     got = {(r["mes"], r["motivo"]) for r in refused(fact, build_panel(fact), forecast, ["run_id", "mes"]).collect()}
     assert ("2030-01", "mes abierto") in got and not any(m == "2025-05" for m, _ in got)
 

@@ -80,6 +80,10 @@ def test_fingerprint_ignores_order_and_sees_changes(make_fact):
     mark = lambda df: tuple(ld.fingerprint(df).first())
     assert mark(make_fact(rows)) == mark(make_fact(rows[::-1]).repartition(3))
     assert mark(make_fact(rows)) != mark(make_fact([*rows[:-1], ("A", "s", D[5], 5.5)]))
+    twice = make_fact(rows * 2)
+    assert mark(twice)[2] not in ("0-0", mark(make_fact(rows))[2]) and mark(make_fact([rows[0]] * 2)) != mark(make_fact([rows[1]] * 2))
+    assert mark(twice)[2] == ld.merged_marks(mark(make_fact(rows))[2], mark(make_fact(rows))[2])
+    assert mark(make_fact([]))[2] == "0-0"
     with pytest.raises(ValueError, match="out of date"):
         ld.check_meta({"data": "x", "horizon": 1}, {"data": "y", "horizon": 1})
 
