@@ -31,7 +31,7 @@ def test_totals_are_sums_of_the_series(fact, panel):
     assert panel.dense().agg(F.sum("y")).first()[0] == pytest.approx(total)
     assert panel.planta_months().agg(F.sum("y")).first()[0] == pytest.approx(total)
     assert panel.total_months().agg(F.sum("y")).first()[0] == pytest.approx(total)
-    assert panel.planta_months().count() == 3 * 30
+    assert panel.planta_months().count() == 4 * 30
 
 
 def test_a_series_is_unknown_before_its_first_month_and_zero_later(make_fact):

@@ -61,7 +61,7 @@ def test_reconciled_series_add_up_to_the_control(panel, res):
 
     control = direct_forecasts(panel, 1).select("planta", "t", "mean6_x_seasonal")
     sums = out.groupBy("planta", "t").agg(F.sum("p_rec").alias("s")).join(control, ["planta", "t"]).collect()
-    assert len(sums) == 36 and all(r["s"] == pytest.approx(r["mean6_x_seasonal"]) for r in sums)
+    assert len(sums) == 48 and all(r["s"] == pytest.approx(r["mean6_x_seasonal"]) for r in sums)
 
 
 def test_zero_sums_are_left_alone(panel, res):
@@ -71,7 +71,7 @@ def test_zero_sums_are_left_alone(panel, res):
 
 def test_level_scores_pool_the_same_volume(panel, res):
     scores = levels.score_models_by_level(panel, res, MEMBERS, 18, 29)
-    assert {r["nivel"]: r["n"] for r in scores.where("modelo = 'naive'").collect()} == {"sku": 144, "planta": 36, "total": 12}
+    assert {r["nivel"]: r["n"] for r in scores.where("modelo = 'naive'").collect()} == {"sku": 144, "planta": 48, "total": 12}
 
 
 def test_confidence_set_against_brute_force(spark):
