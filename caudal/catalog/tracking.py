@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caudal.catalog.domain import TEST_MONTHS, brand, closed, closed_panel, consumption, open_panel, written_once
+from caudal.catalog.domain import TEST_MONTHS, brand, closed, closed_panel, consumption, open_panel, shared, written_once
 from caudal.catalog.registry import cte, query, r, rounded, with_
 from caudal.catalog.scoring import combined
 from caudal.operators import tracking as tr
 from caudal.operators.month_state import detect_month_state
 from caudal.operators.tracking import LEVELS, MODELS
+from caudal.session import checkpoint_dir
+from caudal.sources import store as st
 
 BY = ["mes", "run_id", "estrategia"]
 # (run, strategy, created, cutoff day, the member that plays ml_mean)
@@ -269,3 +271,32 @@ def strategy_of_saved(spark, sf):
         F.when((F.col("run_id") == "run-b") & (F.col("mes") == last), F.to_json(F.struct(F.struct(F.lit("parcial").alias("used"), F.lit(15).alias("cutoff_day")).alias("strategy")))).alias("manifiesto"),
     ).distinct()
     return tr.strategy_of(files)
+
+
+# A written history in which the bias of the total of one run is no number and the rows of a month have lost their model.
+_DAMAGED = "(run_id = 'run-a' and nivel = 'total') or (run_id = 'run-b' and mes = (select min(mes) from tr))"
+
+
+def damaged_csv(spark, sf) -> str:
+    def build() -> str:
+        history = rows(spark, sf)
+        first = history.agg(F.min("mes")).first()[0]
+        text = history.select(*[F.col(c).cast("string").alias(c) for c in history.columns]).withColumns({
+            "bias_pct": F.when((F.col("run_id") == "run-a") & (F.col("nivel") == "total"), F.lit("no es un número")).otherwise(F.col("bias_pct")),
+            "modelo": F.when((F.col("run_id") == "run-b") & (F.col("mes") == first), F.lit(None)).otherwise(F.col("modelo")),
+        })
+        path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{sf.rstrip('/').rsplit('/', 1)[-1]}/tracking.csv"
+        text.write.mode("overwrite").option("header", True).csv(path)
+        return path
+
+    return shared(spark, sf, "tracking_csv", build)
+
+
+@query("tracking_from_csv", with_("tr", f"select run_id, mes, nivel, planta, modelo, {_NUMBERS}, alerta, creado_en, estrategia, corte from tr where not ({_DAMAGED})"))
+def tracking_from_csv(spark, sf):
+    return rounded(st.tracking_from_csv(spark, damaged_csv(spark, sf))[0])
+
+
+@query("tracking_csv_lines", with_("tr", f"select count(*) as lineas from tr where {_DAMAGED}"))
+def tracking_csv_lines(spark, sf):
+    return st.tracking_from_csv(spark, damaged_csv(spark, sf))[1].agg(F.count(F.lit(1)).alias("lineas"))

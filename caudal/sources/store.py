@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caudal.functions.dates import shift_label
 from caudal.functions.skus import SKU_PARTS, dataset_key, sku_part
 from caudal.operators.loading import fingerprint
-from caudal.operators.tracking import replace_tracking, with_defaults
+from caudal.operators.tracking import TRACKING_COLUMNS, replace_tracking, with_defaults
 from caudal.session import cut_lineage
 
 KEEP_VERSIONS = 10
@@ -241,3 +242,22 @@ def save_tracking(rows: DataFrame, path: str) -> None:
 
 def read_tracking(spark: SparkSession, path: str) -> DataFrame:
     return with_defaults(spark.read.schema(TRACKING).parquet(path))
+
+
+def tracking_from_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, lines): an exported tracking history, and the lines of it that can't be read or lack a key, kept apart. The header must name the
+    columns in their order; another file is refused. An empty file gives no rows and no lines."""
+    kinds = StructType.fromDDL(TRACKING)
+    schema = StructType([*[kinds[c] for c in TRACKING_COLUMNS], *StructType.fromDDL("_linea string").fields])
+    read = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_linea").csv(path)
+    read = cut_lineage(read)  # a column of bad lines can't be asked for alone
+    whole = F.col("_linea").isNull() & F.col("run_id").isNotNull() & F.col("mes").isNotNull() & F.col("nivel").isNotNull() & F.col("modelo").isNotNull()
+    columns = [c for c in read.columns if c != "_linea"]
+    return with_defaults(read.where(whole).select(*columns)), read.where(~whole).select(F.coalesce("_linea", F.to_csv(F.struct(*columns))).alias("linea"))
+
+
+def restore_tracking(spark: SparkSession, csv: str, path: str) -> DataFrame:
+    """Puts the readable rows of an exported history in place of the stored ones with the same run and month; returns the other lines."""
+    rows, lines = tracking_from_csv(spark, csv)
+    save_tracking(rows, path)
+    return lines
