@@ -330,7 +330,8 @@ def set_links(texts: DataFrame, named: DataFrame, rule: Rule, boundary: int | No
     boundary = chosen_boundary(table, rule) if boundary is None else boundary
     shared = texts.sparkSession.sparkContext.broadcast(table)  # CELLS numbers, whatever the input
     listed = settled(texts.select("text").mapInArrow(lambda b: list_entries(b, shared, rule, boundary), "key long, set_a long, set_b long"), "list-entries")
-    several = listed.groupBy("key").agg(F.min(F.struct("set_a", "set_b")).alias("low"), F.max(F.struct("set_a", "set_b")).alias("high")).where("low <> high").select("key")
+    # Sets are told apart by one half of their name here: most lists have one set, and this shuffle is the largest of all.
+    several = listed.groupBy("key").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high")).where("low <> high").select("key")
     entries = settled(listed.join(settled(several, "long-lists"), "key").distinct(), "shared-entries")
     discard(listed)
     # One text for each set that stands in a list with others.
