@@ -342,10 +342,11 @@ def set_links(texts: DataFrame, named: DataFrame, rule: Rule, boundary: int | No
     held = profiled.select("set_a", "set_b", "text")
     members = settled(entries.join(profiled.drop("text"), ["set_a", "set_b"]), "list-members")
     discard(entries)
-    lengths = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    lengths = settled(members.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "list-lengths")
     alone = members.withColumn("component_a", F.col("set_a")).withColumn("component_b", F.col("set_b"))
     tested = settled(pairs_in(each_block(in_blocks(alone.join(lengths, "key"))), rule), "neighbour-pairs")
     links = settled(verified_links(tested, held, rule), "neighbour-links")
+    discard(lengths)
     most = first
     while True:
         labels = components(links)

@@ -31,8 +31,10 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Gives the disk of a settled table back. Only for one that nothing reads any more: what was made from it is settled too."""
+    """Gives the disk of a settled table back. Only for one that nothing reads any more: what was made from it is settled too.
+    Spark drops the shuffle files of finished jobs when the driver's JVM collects what refers to them, which is asked for here."""
     files = df.inputFiles()
+    df.sparkSession._jvm.System.gc()
     if files:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
         folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()

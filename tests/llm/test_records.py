@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from caudal.llm.chat import chat_digests, formatted_paths, numbered_turns, probe, read_back, reply_links
 from caudal.llm.warc import archived_pages, chunked, parsed, read_archive, read_records, reassembled, unchunked, write_archive
@@ -168,6 +169,9 @@ def test_pipeline_stages(spark, make_docs, folder):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+    clash = docs.limit(3).withColumn("ids", F.lit("own")).withColumn("N_tokens", F.lit(7))
+    corpus_pipeline.tokens(spark, clash, folder).write.parquet(f"{folder}/clash")
+    assert spark.read.parquet(f"{folder}/clash").columns == [*docs.columns, *corpus_pipeline.ADDED]
 
 
 def test_queries_are_registered():
@@ -175,7 +179,7 @@ def test_queries_are_registered():
 
     names = contract.queries()
     assert "pipeline" in names
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op4_chat", "op6_exact_dedup", "op10_warc", "op1_substring_dedup", "op7_jaccard_join"])
