@@ -127,3 +127,21 @@ def test_files_that_arrive_are_loaded_once(spark, make_fact, folder):
     assert master.numbers() == versions
     with pytest.raises(incremental.LoadStopped):
         incremental.load_batch(make_fact([("A", "s", D[0], 7.0)]), master)
+
+
+def test_tracking_comes_back_from_csv(spark, folder):
+    from caudal.operators.tracking import TRACKING_COLUMNS
+
+    row = {"run_id": "r1", "mes": "2024-01", "nivel": "total", "planta": "", "modelo": "ml_mean", "acierto": "0.9", "wape": "0.1", "bias_pct": "1.5", "n": "3", "real_TO": "10.0", "pronostico_TO": "9.0", "alerta": "", "creado_en": "2024-02-01 00:00:00", "estrategia": "h1", "corte": ""}
+    line = lambda **changed: ",".join({**row, **changed}[c] for c in TRACKING_COLUMNS)
+    text = [",".join(TRACKING_COLUMNS), line(), line(mes="2024-02", acierto="much"), line(mes=""), line(mes="2024-03") + ",more", line(mes="2024-04")]
+    with open(f"{folder}/history.csv", "w") as out:
+        out.write("\n".join(text) + "\n")
+    lines = st.restore_tracking(spark, f"{folder}/history.csv", f"{folder}/tracking")
+    assert lines.count() == 3
+    got = {r["mes"]: (r["acierto"], r["planta"], r["n"], r["corte"]) for r in st.read_tracking(spark, f"{folder}/tracking").collect()}
+    assert got == {"2024-01": (0.9, "", 3, None), "2024-04": (0.9, "", 3, None)}
+    with open(f"{folder}/other.csv", "w") as out:
+        out.write("a,b\n1,2\n")
+    with pytest.raises(Exception, match="header|FAILED_READ"):
+        st.tracking_from_csv(spark, f"{folder}/other.csv")
