@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.llm.components import components
-from caudal.llm.tables import discard, settled
+from caudal.llm.tables import discard, release, settled
 from caudal.llm.words import KEYS, MIX, mixed, row_slices, short_runs, signed, sorted_groups, text_bytes, words_of
 
 CELLS = 1 << 20  # of the table of counts: 8 MB, whatever the input
@@ -332,37 +332,46 @@ def set_links(texts: DataFrame, named: DataFrame, rule: Rule, boundary: int | No
     listed = settled(texts.select("text").mapInArrow(lambda b: list_entries(b, shared, rule, boundary), "key long, set_a long, set_b long"), "list-entries")
     # Sets are told apart by one half of their name here: most lists have one set, and this shuffle is the largest of all.
     several = listed.groupBy("key").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high")).where("low <> high").select("key")
-    entries = settled(listed.join(settled(several, "long-lists"), "key").distinct(), "shared-entries")
-    discard(listed)
+    several = settled(several, "long-lists")
+    entries = settled(listed.join(several, "key").distinct(), "shared-entries")
+    discard(listed, several)
     # One text for each set that stands in a list with others.
     stands = named.groupBy("set_a", "set_b").agg(F.min(F.struct(F.struct("doc_id").alias("id"), "text_key")).alias("doc")).join(entries.select("set_a", "set_b").distinct(), ["set_a", "set_b"])
-    keyed = stands.select("set_a", "set_b", "doc.id", "doc.text_key")
-    chosen = texts.select(F.struct("doc_id").alias("id"), "text_key", "text").join(settled(keyed, "sought-sets"), ["id", "text_key"]).select("set_a", "set_b", "text").dropDuplicates(["set_a", "set_b"])
+    keyed = settled(stands.select("set_a", "set_b", "doc.id", "doc.text_key"), "sought-sets")
+    chosen = texts.select(F.struct("doc_id").alias("id"), "text_key", "text").join(keyed, ["id", "text_key"]).dropDuplicates(["id", "text_key"]).select("set_a", "set_b", "text")  # dealt out once, by these
     profiled = settled(chosen.mapInArrow(lambda b: profiles(b, rule), "set_a long, set_b long, text string, size int, profile binary"), "set-texts")
-    held = profiled.select("set_a", "set_b", "text")
-    members = settled(entries.join(profiled.drop("text"), ["set_a", "set_b"]), "list-members")
-    discard(entries)
-    lengths = settled(members.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "list-lengths")
-    alone = members.withColumn("component_a", F.col("set_a")).withColumn("component_b", F.col("set_b"))
-    tested = settled(pairs_in(each_block(in_blocks(alone.join(lengths, "key"))), rule), "neighbour-pairs")
-    links = settled(verified_links(tested, held, rule), "neighbour-links")
+    discard(keyed)
+    held, marks = profiled.select("set_a", "set_b", "text"), profiled.drop("text")
+
+    def marked(placed: DataFrame) -> DataFrame:
+        """Profiles are joined last: a set has one, but stands in many lists."""
+        return placed.join(marks, ["set_a", "set_b"])
+
+    members, lengths = entries, settled(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "list-lengths")
+    alone = members.join(lengths, "key").withColumn("component_a", F.col("set_a")).withColumn("component_b", F.col("set_b"))
+    tested = settled(pairs_in(each_block(marked(in_blocks(alone))), rule), "neighbour-pairs")
     discard(lengths)
+    links = settled(verified_links(tested, held, rule), "neighbour-links")
     most = first
     while True:
         labels = components(links)
         label = labels.select(F.col("node.a").alias("set_a"), F.col("node.b").alias("set_b"), F.col("component.a").alias("component_a"), F.col("component.b").alias("component_b"))
         labelled = members.join(label, ["set_a", "set_b"], "left").withColumn("component_a", F.coalesce("component_a", "set_a")).withColumn("component_b", F.coalesce("component_b", "set_b"))
         component = F.struct("component_a", "component_b")
-        both = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(component).alias("low"), F.max(component).alias("high")).where("low <> high").select("key", "members")
+        both = settled(labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(component).alias("low"), F.max(component).alias("high")).where("low <> high").select("key", "members"), "mixed-lists")
         # Only lists that two components share go on, into this round and the next ones.
-        members = settled(labelled.join(settled(both, "mixed-lists"), "key").select(*labelled.columns, "members"), "mixed-members")
-        found = settled(pairs_in(block_pairs(in_blocks(members)), rule, most), "further-pairs")
-        members = members.drop("component_a", "component_b", "members")
+        mixed_members = settled(labelled.join(both, "key").select(*labelled.columns, "members"), "mixed-members")
+        discard(members, both)
+        found = settled(pairs_in(block_pairs(marked(in_blocks(mixed_members))), rule, most), "further-pairs")
+        members = mixed_members.drop("component_a", "component_b", "members")
         fresh = settled(found.where("u_a is not null").join(tested, ["u_a", "u_b", "v_a", "v_b"], "left_anti"), "untested-pairs")
+        release(fresh)
         links = settled(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verified_links(fresh, held, rule)), "links")
         if found.where("u_a is null").isEmpty():
+            discard(members, profiled)
             return links
         tested, most = settled(tested.unionByName(fresh), "tested-pairs"), most * MORE
+        release(tested)
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), boundary: int | None = None, first: int = FIRST) -> DataFrame:

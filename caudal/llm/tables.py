@@ -30,15 +30,21 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Gives the disk of a settled table back. Only for one that nothing reads any more: what was made from it is settled too.
-    Spark drops the shuffle files of finished jobs when the driver's JVM collects what refers to them, which is asked for here."""
-    files = df.inputFiles()
+def release(df: DataFrame) -> None:
+    """Spark drops the shuffle files of finished jobs when the driver's JVM collects what refers to them, which is asked for here."""
     df.sparkSession._jvm.System.gc()
-    if files:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(conf).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Gives the disk of settled tables back, and that of shuffles. Only for tables that nothing reads any more: what was made from
+    them is settled too."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+    release(tables[0])
 
 
 def numbered(df: DataFrame, name: str = "row") -> DataFrame:

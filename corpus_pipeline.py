@@ -17,7 +17,7 @@ from caudal.llm.decontaminate import without_benchmark
 from caudal.llm.exact import drop_exact_duplicates
 from caudal.llm.jaccard import Rule, one_of_each
 from caudal.llm.quality import quality_scores
-from caudal.llm.tables import settled, table
+from caudal.llm.tables import discard, settled, table
 
 ADDED = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
 NEAR = Rule(shingle=5, percent=80)
@@ -62,8 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what each keeps is written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; what each keeps is written to the shared folder, read by the next and then deleted."""
+    docs, own = table(spark, sf_dir, "documents"), False
     for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, settled(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if own:  # never the given table
+            discard(before)
+        own = True
     return STAGES[-1][1](spark, docs, sf_dir)
