@@ -17,7 +17,9 @@ Groups of near copies are not expanded into pairs. First only neighbours in a li
 blocks; the links found give components. Then rounds: of the members of a list that lie in different components, some
 candidates for each pair of components are compared, `FIRST` at first and more in each further round; links merge components, and a
 round in which no list had more candidates than it may give ends the search. So nothing is left out, and a large group costs
-about as many candidates as it has members. Tables that nothing reads any more are deleted.
+about as many candidates as it has members. Near copies share many lists: of lists with the same members one is compared, lists of
+two are done with as neighbours, and only lists that had more candidates than they gave go into a further round. Tables that nothing
+reads any more are deleted.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; fewer words than a shingle make one
 element; a null doc_id is larger than every number when components are named; repeated rows are linked like copies; an
@@ -188,6 +190,23 @@ def list_entries(batches: Iterator[pa.RecordBatch], shared, rule: Rule, boundary
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(names[0][row]), pa.array(names[1][row])], ["key", "set_a", "set_b"])
 
 
+def with_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, set_a, set_b) sorted by key, those whose key another row has too. One row is held until the next has come."""
+    last: pa.RecordBatch | None = None  # the last row so far
+    joined = False  # whether the row before it has its key
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        keys = rows.column("key").to_numpy()
+        same = keys[1:] == keys[:-1]
+        keep = np.concatenate([[joined], same]) | np.concatenate([same, [False]])
+        yield rows.slice(0, len(keys) - 1).filter(pa.array(keep[:-1]))
+        last, joined = rows.slice(len(keys) - 1), bool(same[-1]) if len(same) else joined
+    if last is not None and joined:
+        yield last
+
+
 def profiles(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """(set_a, set_b, text) with size and profile: which cells hold an odd number of elements."""
     for batch in batches:
@@ -201,14 +220,14 @@ def profiles(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Recor
 def candidate_pairs(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | None) -> Iterator[pa.RecordBatch]:
     """Rows sorted by group: (key, block, set_a, set_b, component_a, component_b, size, profile, side) to pairs that
     may be linked. `side` 1 and 2 tell the blocks apart of which one is compared with the other; 0 is one block with itself.
-    `most`: how many pairs a group gives for each pair of components (a row of nulls says that one had more); None: neighbours
-    only. A group is held until its last row has come; it has `BLOCK` rows of each side, about."""
+    `most`: how many pairs a group gives for each pair of components (a row with nothing but its key says that it had more); None:
+    neighbours only. A group is held until its last row has come; it has `BLOCK` rows of each side, about."""
     kept: pa.Table | None = None
-    names = ["u_a", "u_b", "v_a", "v_b"]
+    names = ["u_a", "u_b", "v_a", "v_b", "key"]
 
-    def allowed(seen: dict, members: np.ndarray, component: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, bool]:
-        """Which pairs are among the first `most` of their pair of components, and whether one is not. component: a hash with the
-        group; members: how many of the group are in it."""
+    def allowed(seen: dict, members: np.ndarray, component: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs are among the first `most` of their pair of components. component: a hash with the group; members: how
+        many of the group are in it."""
         stays = members[i] * members[j] <= most  # so few can't be too many
         many = np.flatnonzero(~stays)
         between = mixed(np.minimum(component[i], component[j])[many] ^ mixed(np.maximum(component[i], component[j])[many]))
@@ -219,14 +238,14 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | N
         rank = np.arange(len(order)) - np.repeat(firsts, counts) + np.repeat(before, counts)
         seen.update(zip(names, (before + counts).tolist(), strict=True))
         stays[many[order[rank < most]]] = True
-        return stays, not stays.all()
+        return stays
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         col = {c: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "block", "set_a", "set_b", "size", "side", "component_a", "component_b")}
         bits = np.frombuffer(b"".join(rows.column("profile").to_pylist()), np.uint64).reshape(-1, PROFILE // 64)
         new = np.concatenate([[True], (col["key"][1:] != col["key"][:-1]) | (col["block"][1:] != col["block"][:-1])])
         group = np.cumsum(new)
-        at, step, n, seen, more = np.arange(len(group)), 0, len(group), {}, False
+        at, step, n, seen, more = np.arange(len(group)), 0, len(group), {}, set()
         component = mixed(mixed(col["component_a"].view(np.uint64) ^ mixed(col["component_b"].view(np.uint64))) ^ group.astype(np.uint64))
         _, which, counts = np.unique(component, return_inverse=True, return_counts=True)
         members = counts[which]
@@ -247,15 +266,16 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], rule: Rule, most: int | N
                 fits = differing * (100 + rule.percent) <= (100 - rule.percent) * (low[ok] + high[ok])
                 i, j = i[fits], j[fits]
                 if most is not None and len(i):
-                    stays, left_out = allowed(seen, members, component, i, j)
-                    i, j, more = i[stays], j[stays], more or left_out
+                    stays = allowed(seen, members, component, i, j)
+                    more.update(col["key"][i[~stays]].tolist())
+                    i, j = i[stays], j[stays]
                 if len(i):
                     swap = (col["set_a"][i] > col["set_a"][j]) | ((col["set_a"][i] == col["set_a"][j]) & (col["set_b"][i] > col["set_b"][j]))
                     i, j = np.where(swap, j, i), np.where(swap, i, j)
                     out = np.unique(np.stack([col["set_a"][i], col["set_b"][i], col["set_a"][j], col["set_b"][j]], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(4)], names)
+                    yield pa.RecordBatch.from_arrays([*[pa.array(out[:, k]) for k in range(4)], pa.nulls(len(out), pa.int64())], names)
         if more:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4, names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(more), pa.int64())] * 4, pa.array(list(more), pa.int64())], names)
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -292,14 +312,15 @@ def verified_links(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """`pairs` (u_a, u_b, v_a, v_b) of sets to links (u, v), each a struct of the two halves of a name."""
     one = texts.select(F.col("set_a").alias("u_a"), F.col("set_b").alias("u_b"), F.col("text").alias("text_u"))
     two = texts.select(F.col("set_a").alias("v_a"), F.col("set_b").alias("v_b"), F.col("text").alias("text_v"))
-    joined = pairs.join(one, ["u_a", "u_b"]).join(two, ["v_a", "v_b"])
+    sought = two.join(pairs.select("v_a", "v_b").distinct(), ["v_a", "v_b"], "left_semi")  # only these texts are dealt out for the second side
+    joined = pairs.join(one, ["u_a", "u_b"]).join(sought, ["v_a", "v_b"])
     name = "struct<a:bigint,b:bigint>"
     rows = joined.select(F.struct(F.col("u_a").alias("a"), F.col("u_b").alias("b")).alias("u"), F.struct(F.col("v_a").alias("a"), F.col("v_b").alias("b")).alias("v"), "text_u", "text_v")
     return rows.mapInArrow(lambda b: compare(b, rule), f"u {name}, v {name}")
 
 
 def in_blocks(entries: DataFrame) -> DataFrame:
-    """List entries, with the number of `members` of their list, and the block of it that they stand in: `BLOCK` members each, by hash."""
+    """List entries, with the block of their list that they stand in: `BLOCK` of its `members` each, by hash."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     return entries.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_b", "set_a"), blocks).cast("int"))
 
@@ -317,10 +338,23 @@ def block_pairs(placed: DataFrame) -> DataFrame:
 
 
 def pairs_in(entries: DataFrame, rule: Rule, most: int | None = None) -> DataFrame:
-    """Candidate pairs of entries that stand in the same group. Groups are kept together by the shuffle and come sorted."""
+    """Candidate pairs of entries that stand in the same group, and the keys of lists that had more. Groups are kept together by the
+    shuffle and come sorted."""
     columns = ["key", "block", "set_a", "set_b", "component_a", "component_b", "size", "profile", "side"]
     sorted_rows = entries.select(columns).repartition("key", "block").sortWithinPartitions("key", "block", "size", "set_a", "set_b")
-    return sorted_rows.mapInArrow(lambda b: candidate_pairs(b, rule, most), "u_a long, u_b long, v_a long, v_b long").distinct()
+    return sorted_rows.mapInArrow(lambda b: candidate_pairs(b, rule, most), "u_a long, u_b long, v_a long, v_b long, key long").distinct()
+
+
+def shared_lists(listed: DataFrame) -> DataFrame:
+    """Settled (key, set_a, set_b, members) of the lists in which several sets stand, one list of each that have the same members.
+    `members`: how many. The entries, the largest table of all, are shuffled once."""
+    held = settled(listed.repartition("key").sortWithinPartitions("key").mapInArrow(with_company, listed.schema).distinct(), "list-entries")
+    # Names of sets are 128 random bits, so their exclusive or tells lists apart like a name of one.
+    lists = held.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor("set_a").alias("mark_a"), F.bit_xor("set_b").alias("mark_b")).where("members > 1")
+    unlike = settled(lists.groupBy("members", "mark_a", "mark_b").agg(F.min("key").alias("key")).select("key", "members"), "unlike-lists")
+    entries = settled(held.join(unlike, "key"), "shared-entries")
+    discard(held, unlike)
+    return entries
 
 
 def set_links(texts: DataFrame, named: DataFrame, rule: Rule, boundary: int | None = None, first: int = FIRST) -> DataFrame:
@@ -329,12 +363,7 @@ def set_links(texts: DataFrame, named: DataFrame, rule: Rule, boundary: int | No
     table = count_table(texts, rule)
     boundary = chosen_boundary(table, rule) if boundary is None else boundary
     shared = texts.sparkSession.sparkContext.broadcast(table)  # CELLS numbers, whatever the input
-    listed = settled(texts.select("text").mapInArrow(lambda b: list_entries(b, shared, rule, boundary), "key long, set_a long, set_b long"), "list-entries")
-    # Sets are told apart by one half of their name here: most lists have one set, and this shuffle is the largest of all.
-    several = listed.groupBy("key").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high")).where("low <> high").select("key")
-    several = settled(several, "long-lists")
-    entries = settled(listed.join(several, "key").distinct(), "shared-entries")
-    discard(listed, several)
+    entries = shared_lists(texts.select("text").mapInArrow(lambda b: list_entries(b, shared, rule, boundary), "key long, set_a long, set_b long"))
     # One text for each set that stands in a list with others.
     stands = named.groupBy("set_a", "set_b").agg(F.min(F.struct(F.struct("doc_id").alias("id"), "text_key")).alias("doc")).join(entries.select("set_a", "set_b").distinct(), ["set_a", "set_b"])
     keyed = settled(stands.select("set_a", "set_b", "doc.id", "doc.text_key"), "sought-sets")
@@ -347,10 +376,10 @@ def set_links(texts: DataFrame, named: DataFrame, rule: Rule, boundary: int | No
         """Profiles are joined last: a set has one, but stands in many lists."""
         return placed.join(marks, ["set_a", "set_b"])
 
-    members, lengths = entries, settled(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "list-lengths")
-    alone = members.join(lengths, "key").withColumn("component_a", F.col("set_a")).withColumn("component_b", F.col("set_b"))
-    tested = settled(pairs_in(each_block(marked(in_blocks(alone))), rule), "neighbour-pairs")
-    discard(lengths)
+    alone = entries.withColumn("component_a", F.col("set_a")).withColumn("component_b", F.col("set_b"))
+    tested = settled(pairs_in(each_block(marked(in_blocks(alone))), rule).drop("key"), "neighbour-pairs")
+    members = settled(entries.where("members > 2"), "longer-lists")  # the others had one pair
+    discard(entries)
     links = settled(verified_links(tested, held, rule), "neighbour-links")
     most = first
     while True:
@@ -358,18 +387,21 @@ def set_links(texts: DataFrame, named: DataFrame, rule: Rule, boundary: int | No
         label = labels.select(F.col("node.a").alias("set_a"), F.col("node.b").alias("set_b"), F.col("component.a").alias("component_a"), F.col("component.b").alias("component_b"))
         labelled = members.join(label, ["set_a", "set_b"], "left").withColumn("component_a", F.coalesce("component_a", "set_a")).withColumn("component_b", F.coalesce("component_b", "set_b"))
         component = F.struct("component_a", "component_b")
-        both = settled(labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(component).alias("low"), F.max(component).alias("high")).where("low <> high").select("key", "members"), "mixed-lists")
-        # Only lists that two components share go on, into this round and the next ones.
-        mixed_members = settled(labelled.join(both, "key").select(*labelled.columns, "members"), "mixed-members")
+        both = settled(labelled.groupBy("key").agg(F.min(component).alias("low"), F.max(component).alias("high")).where("low <> high").select("key"), "mixed-lists")
+        # Only lists that two components share go on.
+        mixed_members = settled(labelled.join(both, "key"), "mixed-members")
         discard(members, both)
         found = settled(pairs_in(block_pairs(marked(in_blocks(mixed_members))), rule, most), "further-pairs")
-        members = mixed_members.drop("component_a", "component_b", "members")
-        fresh = settled(found.where("u_a is not null").join(tested, ["u_a", "u_b", "v_a", "v_b"], "left_anti"), "untested-pairs")
+        fresh = settled(found.where("u_a is not null").drop("key").join(tested, ["u_a", "u_b", "v_a", "v_b"], "left_anti"), "untested-pairs")
         release(fresh)
         links = settled(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verified_links(fresh, held, rule)), "links")
-        if found.where("u_a is null").isEmpty():
-            discard(members, profiled)
+        left = found.where("u_a is null").select("key")
+        if left.isEmpty():
+            discard(mixed_members, profiled)
             return links
+        # A list that gave all its candidates has no untested pair.
+        members = settled(mixed_members.drop("component_a", "component_b").join(left, "key", "left_semi"), "lists-with-more")
+        discard(mixed_members)
         tested, most = settled(tested.unionByName(fresh), "tested-pairs"), most * MORE
         release(tested)
 
