@@ -2,7 +2,7 @@
 
 The frame decides how. While its training rows fit in `LOCAL_CELLS` numbers, a size that is counted first, they are shared with all tasks as the
 small side of a join would be, and every model (or block of forest trees) is a task of its own: the fits of all origins, seeds, trials and kinds run
-side by side on the cluster. Beyond that size no task holds the frame: it is binned and written once, and the models of a window grow in
+side by side on the cluster, compiled to Java where the session allows it (`caudal.plans.compiled`), else over arrays. Beyond that size no task holds the frame: it is binned and written once, and the models of a window grow in
 lockstep, one job a level for all of them, in which each task adds up its rows by (model, node, feature, bin) and only
 sums are shuffled and reach the driver. Both ways run the same steps (`caudal.plans.trees`) on the same draws of rows.
 
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from caudal.plans.compiled import fit_compiled, possible
 from caudal.plans.trees import MISSING, VALIDATION_MONTHS, WIDTH, Fit, Grown, Level, Model, Phase, Start, Steps, Tree, binned, combined, edges_of, gradients, response, start_of, steps_of, weights_of
 from caudal.session import cut_lineage, written
 
@@ -161,12 +162,15 @@ def arrays_of(ready: DataFrame, features: list[str]) -> tuple[np.ndarray, ...]:
 
 
 def fit_side_by_side(ready: DataFrame, fits: list[Fit], features: list[str]) -> DataFrame:
-    """One task for each block of each fit."""
+    """One task for each block of each fit; compiled where the session can."""
     spark = ready.sparkSession
     last = max(f.train_to for f in fits)
-    shared = spark.sparkContext.broadcast(arrays_of(ready.where(F.col("y").isNotNull() & (F.col("t") <= last)), features))
+    arrays = arrays_of(ready.where(F.col("y").isNotNull() & (F.col("t") <= last)), features)
     work = fits_in_blocks(fits)
-    work.sort(key=lambda w: w[1].forest)  # boosting takes longest and starts first
+    work.sort(key=lambda w: (w[1].forest, -w[1].params.get("depth", 0)))  # boosting and deep trees take longest and start first
+    if possible(spark, fits):
+        return fit_compiled(work, features, arrays, spark, MODELS)
+    shared = spark.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
